@@ -28,13 +28,14 @@ def ngrams(tokens: Column, max_n: int) -> Column:
     """All 1..max_n grams of a token array, joined by one space."""
     if max_n == 1:
         return tokens
-    parts = [tokens]
-    for n in range(2, max_n + 1):
-        starts = F.when(
-            F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-        ).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, n), " ")))
-    return F.concat(*parts)
+    return F.concat(tokens, *[_grams(tokens, n) for n in range(2, max_n + 1)])
+
+
+def _grams(tokens: Column, n: int) -> Column:
+    last = F.size(tokens) - (n - 1)
+    none = F.array().cast("array<int>")
+    starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(none)
+    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
 
 
 def pick(col: Column, mapping: dict) -> Column:

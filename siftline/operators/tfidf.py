@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from siftline.functions.once import computed_once
 from siftline.functions.text import ngrams, word_tokens
 from siftline.operators import lookup
 
@@ -15,7 +16,11 @@ HOT_TERMS = 20_000
 
 def tokenize(docs: DataFrame, doc: str, text: str, max_n: int = 1) -> DataFrame:
     """One row per token (or n-gram) occurrence: doc, term."""
-    return docs.select(doc, F.explode(ngrams(word_tokens(F.col(text)), max_n)).alias("term"))
+    tokens = word_tokens(F.col(text))
+    if max_n > 1:
+        docs = computed_once(docs.select(doc, text), {"_tokens": tokens})
+        tokens = ngrams(F.col("_tokens"), max_n)
+    return docs.select(doc, F.explode(tokens).alias("term"))
 
 
 def term_counts(docs: DataFrame, doc: str, text: str, max_n: int = 1) -> DataFrame:
