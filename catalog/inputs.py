@@ -122,3 +122,30 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One artifact manifest per supplier."""
     sql = sha_calls(MANIFESTS).replace("FROM supplier", "FROM {supplier}")
     return spark.sql(sql, supplier=table(spark, sf_dir, "supplier"))
+
+
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding as a query."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def incident_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding as a past incident; a query is compared with all others."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("incident_id"),
+        F.expr("'incident ' || CAST(vec_id AS STRING)").alias("log"),
+        F.expr("'cause ' || CAST(label AS STRING)").alias("known_root_cause"),
+        F.expr(KNOWN_ACTION).alias("known_action"),
+        "embedding",
+    )
+
+
+KNOWN_ACTION = (
+    "CASE label % 3 WHEN 0 THEN 'open_ticket' WHEN 1 THEN 'ignore' ELSE 'suggest_scale_up' END"
+)
+
+
+def with_query_key(lines: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tie each line to one query vector; many lines share a vector."""
+    size = table(spark, sf_dir, "embeddings").agg(F.count("*")).scalar()
+    return lines.withColumn("query_id", F.col("line_id") % size)
