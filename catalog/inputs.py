@@ -149,3 +149,127 @@ def with_query_key(lines: DataFrame, spark: SparkSession, sf_dir: str) -> DataFr
     """Tie each line to one query vector; many lines share a vector."""
     size = table(spark, sf_dir, "embeddings").agg(F.count("*")).scalar()
     return lines.withColumn("query_id", F.col("line_id") % size)
+
+# Experiment runs, one per part; five consecutive parts form a comparison group.
+# SHA( stands for each engine's sha256 function.
+RUNS = """
+SELECT run_id, 'run ' || CAST(i AS STRING) || ' of ' || gid AS run_name,
+  CASE WHEN p % 51 = 0 THEN 'FAILED' ELSE 'FINISHED' END AS status,
+  '2026-01-' || lpad(CAST(1 + g % 28 AS STRING), 2, '0') || ' 00:00:0' || CAST(i AS STRING) AS start_time,
+  CASE WHEN g % 23 = 0 THEN 'unknown' ELSE gid END AS comparison_group_id,
+  'v' || CAST(i AS STRING) AS variant_name, CASE WHEN i = 0 THEN 'baseline' ELSE 'challenger' END AS variant_type,
+  p_type AS model_family,
+  CASE WHEN g % 9 = 0 AND i = 0 THEN 'ablation' ELSE 'model_family' END AS comparison_type,
+  CASE WHEN g % 26 = 0 AND i = 2 THEN 'vectorizer' WHEN g % 14 = 0 THEN 'tfidf_ngram_range'
+    WHEN g % 15 = 0 THEN 'random_state' ELSE 'model_family' END AS changed_variable,
+  'raw_data, train_split,test_split,policy' || CASE WHEN g % 17 = 0 THEN ',hardware' ELSE '' END AS controlled_variables,
+  CASE WHEN g % 5 = 0 AND i = 4 THEN NULL WHEN g % 7 = 0 AND i = 1 THEN SHA('data-x') ELSE SHA('data-' || gid) END AS training_data_sha256,
+  SHA('train-' || gid) AS train_split_sha256, SHA('test-' || gid) AS test_split_sha256,
+  SHA('split-' || gid) AS split_sha256, SHA('features-' || gid) AS feature_pipeline_sha256,
+  CASE WHEN g % 13 = 0 AND i > 0 THEN NULL ELSE SHA('policy-' || gid) END AS policy_sha256,
+  SHA('evaluation-' || gid) AS evaluation_code_sha256,
+  CASE WHEN p % 37 = 0 THEN '' ELSE SHA('experiment-' || CAST(g % 40 AS STRING)) END AS experiment_config_sha256,
+  'experiments/' || CAST(g % 40 AS STRING) || '.yaml' AS experiment_config_path,
+  'manual_and_text' AS feature_pipeline_name, 'TfidfVectorizer' AS vectorizer_name, 'tournament' AS experiment_name,
+  CASE WHEN p % 29 = 0 THEN NULL ELSE (70 + (p_size * 7 + p) % 31) / 100e0 END AS f1_macro,
+  (60 + (p_size * 5 + p) % 37) / 100e0 AS combined_accuracy,
+  (60 + (p_size * 3 + p) % 41) / 100e0 AS combined_weakest_class_recall,
+  (p % 26) / 100e0 AS low_confidence_rate, (p * 7 % 60) / 100e0 AS approval_required_rate,
+  round((p_retailprice - 880e0) * 2e0, 4) AS offline_decision_latency_p95_ms,
+  CASE p % 8 WHEN 0 THEN 'selected' WHEN 1 THEN 'rejected' WHEN 2 THEN 'superseded' WHEN 3 THEN NULL ELSE 'not_evaluated' END AS candidate_status,
+  CASE WHEN (i = 0 AND g % 4 <> 0) OR (i = 1 AND g % 6 = 0) THEN 'true' ELSE 'false' END AS current_candidate,
+  CASE WHEN i < 2 THEN 'true' ELSE 'false' END AS candidate,
+  CASE WHEN p % 9 = 1 THEN NULL ELSE 'reason ' || CAST(p % 5 AS STRING) END AS promotion_reason,
+  CASE WHEN p % 27 = 0 THEN NULL ELSE 'owner ' || CAST(p % 3 AS STRING) END AS run_owner,
+  CASE WHEN p % 38 = 0 THEN NULL WHEN p % 19 = 0 THEN '500' ELSE '1000' END AS model_max_iter,
+  CASE WHEN p % 21 = 0 THEN '7' ELSE '42' END AS random_state,
+  CASE WHEN g % 6 = 0 THEN '[1, 2]' ELSE '[1, 1]' END AS ngram_range,
+  CASE WHEN p % 33 = 0 THEN '5000' END AS max_features,
+  SHA('config-' || CAST(p % 3 AS STRING)) AS config_sha256
+FROM (SELECT *, p_partkey AS p, CAST(floor(p_partkey / 5) AS BIGINT) AS g, p_partkey % 5 AS i,
+  'run-' || lpad(CAST(p_partkey AS STRING), 8, '0') AS run_id,
+  'grp-' || lpad(CAST(CAST(floor(p_partkey / 5) AS BIGINT) AS STRING), 6, '0') AS gid FROM part)
+"""
+
+BASELINES = """
+SELECT comparison_group_id, 'run-' || lpad(CAST(g * 5 + CASE WHEN g % 10 = 0 THEN 2 ELSE 0 END AS STRING), 8, '0') AS baseline_run_id,
+  g % 10 = 0 AS allow_override, CASE WHEN g % 20 = 0 THEN 'agreed by the owner' END AS override_reason
+FROM (SELECT comparison_group_id, CAST(substr(comparison_group_id, 5) AS BIGINT) AS g FROM runs
+  WHERE comparison_group_id <> 'unknown' GROUP BY comparison_group_id)
+"""
+
+ARTIFACTS = """
+SELECT run_id, 'decision_artifact/' || run_id || '/manifest.json' AS path FROM runs
+UNION ALL SELECT run_id, 'promotion_report.md' AS path FROM runs WHERE CAST(substr(run_id, 5) AS BIGINT) % 12 <> 0
+UNION ALL SELECT run_id, 'notes/promotion_report.md.bak' AS path FROM runs
+"""
+
+PLAN = """
+SELECT g AS position, 'plan-' || CAST(g AS STRING) AS label, 'parameter_' || CAST(g % 4 AS STRING) AS changed_parameter,
+  CASE WHEN g % 40 = 0 THEN '<COMPARISON_GROUP_ID>' WHEN g % 41 = 0 THEN 'grp-none' ELSE comparison_group_id END AS comparison_group_id
+FROM (SELECT comparison_group_id, CAST(substr(comparison_group_id, 5) AS BIGINT) AS g FROM runs
+  WHERE comparison_group_id <> 'unknown' GROUP BY comparison_group_id)
+"""
+
+PARAMS = ("model_family", "model_max_iter", "feature_pipeline_name", "feature_pipeline_sha256", "variant_name",
+          "experiment_config_sha256", "random_state", "ngram_range", "max_features")
+METRICS = ("f1_macro", "combined_accuracy", "combined_weakest_class_recall", "low_confidence_rate",
+           "approval_required_rate", "offline_decision_latency_p95_ms")
+TAGS = ("candidate_status", "candidate", "current_candidate", "promotion_reason", "run_owner", "comparison_group_id",
+        "variant_name", "variant_type", "comparison_type", "changed_variable", "controlled_variables", "training_data_sha256",
+        "train_split_sha256", "test_split_sha256", "split_sha256", "feature_pipeline_name", "feature_pipeline_sha256",
+        "policy_sha256", "evaluation_code_sha256", "experiment_config_sha256", "experiment_config_path", "vectorizer_name",
+        "model_family", "experiment_name")
+
+
+def _map(names):
+    pairs = [part for n in names for part in (F.lit(n), F.col(n))]
+    return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One experiment run per part, with wide columns and the three open maps."""
+    sql = sha_calls(RUNS).replace("FROM part)", "FROM {part})")
+    wide = spark.sql(sql, part=table(spark, sf_dir, "part"))
+    return wide.withColumns({"params": _map(PARAMS), "metrics": _map(METRICS), "tags": _map(TAGS)})
+
+
+def _over_runs(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    wide = runs(spark, sf_dir)
+    return spark.sql(re.sub(r"FROM runs\b", "FROM {runs}", sql), runs=wide)
+
+
+def baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over_runs(spark, sf_dir, BASELINES)
+
+
+def run_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over_runs(spark, sf_dir, ARTIFACTS)
+
+
+def tuning_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over_runs(spark, sf_dir, PLAN)
+
+
+def run_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long form of the runs: run_id, kind, key, value. Every third group uses the older
+    name of the group tag, and a missing metric is stored as NaN."""
+    info = ("run_name", "status", "start_time")
+    older = F.expr("CAST(substr(run_id, 5) AS BIGINT) % 3 = 0")
+
+    def entries(kind: str, names) -> list:
+        out = []
+        for n in names:
+            key = F.lit(n)
+            if n == "comparison_group_id":
+                key = F.when(older, F.lit("fair_comparison_group_id")).otherwise(key)
+            value = F.col(n).cast("string")
+            if kind == "metrics":
+                value = F.coalesce(value, F.lit("NaN"))
+            out.append(F.struct(F.lit(kind).alias("kind"), key.alias("key"), value.alias("value")))
+        return out
+
+    rows = F.array(
+        *entries("info", info), *entries("tags", TAGS), *entries("metrics", METRICS), *entries("params", PARAMS)
+    )
+    return runs(spark, sf_dir).select("run_id", F.inline(rows)).filter(F.col("value").isNotNull())

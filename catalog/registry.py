@@ -27,6 +27,7 @@ def register(name: str, sql: str | None = None):
 
 
 def load() -> None:
+    import catalog.experiments  # noqa: F401
     import catalog.lines  # noqa: F401
     import catalog.similar  # noqa: F401
     import catalog.texts  # noqa: F401
