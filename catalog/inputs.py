@@ -98,7 +98,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Artifact manifests, one per supplier. SHA( stands for each engine's sha256 function.
 MANIFESTS = """
-SELECT artifact_id, '/artifacts/' || artifact_id AS artifact_path, 'run-' || lpad(CAST(s_suppkey AS STRING), 8, '0') AS run_id,
+SELECT artifact_id, s_suppkey AS artifact_no, '/artifacts/' || artifact_id AS artifact_path, 'run-' || lpad(CAST(s_suppkey AS STRING), 8, '0') AS run_id,
   substr(SHA('git-' || CAST(s_suppkey % 7 AS STRING)), 1, 40) AS git_sha,
   'v1' AS schema_version, 'decision_engine' AS artifact_type,
   SHA('model-' || CAST(s_suppkey % 13 AS STRING)) AS model_sha256,
@@ -147,7 +147,7 @@ KNOWN_ACTION = (
 
 def with_query_key(lines: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tie each line to one query vector; many lines share a vector."""
-    size = table(spark, sf_dir, "embeddings").agg(F.count("*")).scalar()
+    size = table(spark, sf_dir, "embeddings").count()
     return lines.withColumn("query_id", F.col("line_id") % size)
 
 # Experiment runs, one per part; five consecutive parts form a comparison group.
@@ -273,3 +273,81 @@ def run_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         *entries("info", info), *entries("tags", TAGS), *entries("metrics", METRICS), *entries("params", PARAMS)
     )
     return runs(spark, sf_dir).select("run_id", F.inline(rows)).filter(F.col("value").isNotNull())
+
+# Traces: one per event, made by the artifact with the number user_id % artifact count.
+TRACES = """
+SELECT SHA('decision-' || CAST(event_id AS STRING)) AS decision_id, '2026-01-01T00:00:00Z' AS created_at,
+  CASE WHEN event_id % 37 = 0 THEN 'decider-unknown' ELSE m.artifact_id END AS artifact_id,
+  CASE WHEN event_id % 31 = 0 THEN 'altered' ELSE m.model_sha256 END AS model_sha256, m.vectorizer_sha256,
+  m.known_actions_sha256, CASE WHEN event_id % 43 = 0 THEN NULL ELSE m.config_sha256 END AS config_sha256, m.training_data_sha256
+FROM events JOIN manifests m ON m.artifact_no = user_id % (SELECT count(*) FROM manifests)
+"""
+
+# Audited runs: one per customer.
+TAGGED_RUNS = """
+SELECT 'run-c' || CAST(c_custkey AS STRING) AS run_id, m.artifact_id,
+  CASE WHEN c_custkey % 17 = 0 THEN 'unknown' ELSE m.git_sha END AS git_sha, m.config_sha256, m.training_config_sha256,
+  CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE m.policy_sha256 END AS policy_sha256, m.training_data_sha256,
+  m.model_sha256, m.vectorizer_sha256, m.known_actions_sha256,
+  CASE WHEN c_custkey % 11 = 0 THEN 'stale' ELSE SHA('package-' || m.artifact_id) END AS artifact_sha256
+FROM customer JOIN manifests m ON m.artifact_no = c_custkey % (SELECT count(*) FROM manifests)
+"""
+
+# Builds: one per order; the version line 1.0 gets a large share of them.
+BUILDS = """
+SELECT o_orderkey AS build_id, 'decider' AS name, 1 AS major, CAST(greatest(o_custkey % 9 - 3, 0) AS INTEGER) AS minor,
+  DAY(o_orderdate) || '-' || lpad(CAST(o_orderkey % 240000 AS STRING), 6, '0') AS timestamp,
+  SHA('model-' || o_orderstatus) AS model_sha256, SHA('vectorizer') AS vectorizer_sha256, SHA('actions') AS known_actions_sha256,
+  SHA('config-' || substr(o_orderpriority, 1, 1)) AS config_sha256, SHA('data') AS training_data_sha256 FROM orders
+"""
+
+GATE_CHECKS = """
+SELECT o_custkey AS gate_run, CASE o_orderkey % 7 WHEN 0 THEN 'policy_tests' WHEN 1 THEN 'artifact_tests' WHEN 2 THEN 'quality_gate_report_tests'
+  WHEN 3 THEN 'prediction_contract_tests' WHEN 4 THEN 'smoke_prediction' WHEN 5 THEN 'traceability_integration' ELSE 'deterministic_test_suite' END AS check_name,
+  CASE WHEN o_orderstatus = 'P' AND o_totalprice > 400000e0 THEN 'failed' ELSE 'passed' END AS status, o_orderkey AS position FROM orders
+"""
+
+GATE_REPORTS = """
+SELECT c_custkey AS gate_run, 'v1' AS report_version, '2026-01-01' AS generated_at, 'run-c' || CAST(c_custkey AS STRING) AS run_id,
+  CASE WHEN c_custkey % 19 = 0 THEN '' ELSE m.git_sha END AS git_sha, CASE WHEN c_custkey % 23 = 0 THEN 'failed' ELSE 'passed' END AS status,
+  m.artifact_id, '1.0' AS model_version, CASE WHEN c_custkey % 29 = 0 THEN NULL ELSE '2026-01-01' END AS created_at,
+  m.artifact_path || '/manifest.json' AS manifest_path, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE m.model_sha256 END AS model_sha256,
+  m.vectorizer_sha256, m.known_actions_sha256, m.config_sha256, m.training_data_sha256
+FROM customer JOIN manifests m ON m.artifact_no = c_custkey % (SELECT count(*) FROM manifests)
+"""
+
+ARTIFACT_FILES = {"model": "model.bin", "vectorizer": "vectorizer.bin", "known_actions": "known_actions.json"}
+
+
+def _over(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
+    """Shared SQL text over given tables and the manifests."""
+    text = sha_calls(sql).replace("DAY(o_orderdate)", "date_format(o_orderdate, 'yyyyMMdd')")
+    if "manifests" in names:
+        # One manifest per supplier; the count comes from the file footer.
+        size = table(spark, sf_dir, "supplier").count()
+        text = text.replace("(SELECT count(*) FROM manifests)", str(size))
+    frames = {}
+    for name in names:
+        text = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", text)
+        frames[name] = manifests(spark, sf_dir) if name == "manifests" else table(spark, sf_dir, name)
+    return spark.sql(text, **frames)
+
+
+def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over(spark, sf_dir, TRACES, "events", "manifests")
+
+
+def tagged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over(spark, sf_dir, TAGGED_RUNS, "customer", "manifests")
+
+
+def builds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over(spark, sf_dir, BUILDS, "orders")
+
+
+def gate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over(spark, sf_dir, GATE_CHECKS, "orders").withColumnRenamed("check_name", "check")
+
+
+def gate_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over(spark, sf_dir, GATE_REPORTS, "customer", "manifests")
