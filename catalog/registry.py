@@ -27,9 +27,10 @@ def register(name: str, sql: str | None = None):
 
 
 def load() -> None:
+    """Import the catalog modules, which register their queries."""
     import catalog.lines  # noqa: F401
+    import catalog.texts  # noqa: F401
+    import catalog.similar  # noqa: F401
     import catalog.experiments  # noqa: F401
     import catalog.audits  # noqa: F401
-    import catalog.lines  # noqa: F401
-    import catalog.similar  # noqa: F401
-    import catalog.texts  # noqa: F401
+    import catalog.training  # noqa: F401
