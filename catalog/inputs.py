@@ -223,19 +223,24 @@ TAGS = ("candidate_status", "candidate", "current_candidate", "promotion_reason"
 
 
 def _map(names):
-    pairs = [part for n in names for part in (F.lit(n), F.col(n))]
-    return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
+    pairs = ", ".join(f"'{n}', {n}" for n in names)
+    return F.expr(f"map_filter(map({pairs}), (k, v) -> v IS NOT NULL)")
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One experiment run per part, with wide columns and the three open maps."""
+def wide_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One experiment run per part, with wide columns."""
     sql = sha_calls(RUNS).replace("FROM part)", "FROM {part})")
-    wide = spark.sql(sql, part=table(spark, sf_dir, "part"))
-    return wide.withColumns({"params": _map(PARAMS), "metrics": _map(METRICS), "tags": _map(TAGS)})
+    return spark.sql(sql, part=table(spark, sf_dir, "part"))
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs with their three open maps beside the wide columns."""
+    maps = {"params": _map(PARAMS), "metrics": _map(METRICS), "tags": _map(TAGS)}
+    return wide_runs(spark, sf_dir).withColumns(maps)
 
 
 def _over_runs(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    wide = runs(spark, sf_dir)
+    wide = wide_runs(spark, sf_dir)
     return spark.sql(re.sub(r"FROM runs\b", "FROM {runs}", sql), runs=wide)
 
 
@@ -255,24 +260,21 @@ def run_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long form of the runs: run_id, kind, key, value. Every third group uses the older
     name of the group tag, and a missing metric is stored as NaN."""
     info = ("run_name", "status", "start_time")
-    older = F.expr("CAST(substr(run_id, 5) AS BIGINT) % 3 = 0")
-
-    def entries(kind: str, names) -> list:
-        out = []
-        for n in names:
-            key = F.lit(n)
-            if n == "comparison_group_id":
-                key = F.when(older, F.lit("fair_comparison_group_id")).otherwise(key)
-            value = F.col(n).cast("string")
-            if kind == "metrics":
-                value = F.coalesce(value, F.lit("NaN"))
-            out.append(F.struct(F.lit(kind).alias("kind"), key.alias("key"), value.alias("value")))
-        return out
-
-    rows = F.array(
-        *entries("info", info), *entries("tags", TAGS), *entries("metrics", METRICS), *entries("params", PARAMS)
-    )
-    return runs(spark, sf_dir).select("run_id", F.inline(rows)).filter(F.col("value").isNotNull())
+    older = "CAST(substr(run_id, 5) AS BIGINT) % 3 = 0"
+
+    def entry(kind: str, n: str) -> str:
+        key = f"'{n}'"
+        if n == "comparison_group_id":
+            key = f"if({older}, 'fair_comparison_group_id', {key})"
+        value = f"CAST({n} AS STRING)"
+        if kind == "metrics":
+            value = f"coalesce({value}, 'NaN')"
+        return f"struct('{kind}' AS kind, {key} AS key, {value} AS value)"
+
+    kinds = {"info": info, "tags": TAGS, "metrics": METRICS, "params": PARAMS}
+    rows = ", ".join(entry(kind, n) for kind, names in kinds.items() for n in names)
+    long = wide_runs(spark, sf_dir).selectExpr("run_id", f"inline(array({rows}))")
+    return long.filter("value IS NOT NULL")
 
 # Traces: one per event, made by the artifact with the number user_id % artifact count.
 TRACES = """

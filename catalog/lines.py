@@ -161,7 +161,7 @@ def p8_rejected(spark, sf):
 def p9(spark, sf):
     rows = parse.parse_logs(inputs.log_lines(spark, sf)).filter(F.col("parse_error").isNull())
     return rows.select(
-        "line_id", "action", parse.display_action(F.col("action")).alias("display_action")
+        "line_id", "action", parse.display_action("action").alias("display_action")
     )
 
 
@@ -176,7 +176,7 @@ def p9(spark, sf):
 )
 def p10(spark, sf):
     rows = parse.usable_rows(_rows(spark, sf)).withColumn(
-        "display_action", parse.display_action(F.col("action"))
+        "display_action", parse.display_action("action")
     )
     return parse.with_action_dimensions(rows, "display_action", RULES).select(
         "line_id", "display_action", "risk_level", "requires_approval"

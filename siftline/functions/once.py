@@ -13,6 +13,8 @@ def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     chain of derived columns multiplies the work and the plan. A one-element generator
     stays inside the same codegen stage, and filters on its output do not pass it.
     """
-    kept = [c for c in df.columns if c not in columns]
-    row = F.struct(*[value.alias(name) for name, value in columns.items()])
-    return df.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(row)))
+    row = F.inline(F.array(F.struct(*[value.alias(name) for name, value in columns.items()])))
+    replaced = [name for name in columns if name in df.columns]
+    if not replaced:
+        return df.select("*", row)
+    return df.select(*[c for c in df.columns if c not in replaced], row)

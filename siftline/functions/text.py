@@ -38,13 +38,19 @@ def _grams(tokens: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
 
 
-def pick(col: Column, mapping: dict) -> Column:
-    """Value of a small fixed mapping as a CASE chain; null for an unknown key."""
-    out = None
-    for key, value in mapping.items():
-        hit = col == F.lit(key)
-        out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
-    return out
+def sql_literal(value: str | bool | int | float) -> str:
+    """SQL text of a constant."""
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else str(value)
+
+
+def pick(name: str, mapping: dict) -> Column:
+    """Value of a small fixed mapping for a named column; null for an unknown key."""
+    arms = " ".join(f"WHEN {sql_literal(k)} THEN {sql_literal(v)}" for k, v in mapping.items())
+    return F.expr(f"CASE {name} {arms} END")
 
 
 def fill(template: str, *cols: Column) -> Column:
@@ -54,8 +60,3 @@ def fill(template: str, *cols: Column) -> Column:
     for col, piece in zip(cols, pieces[1:], strict=True):
         out += [col, F.lit(piece)]
     return F.concat(*out)
-
-
-def known(col: Column) -> Column:
-    """True when a tag value is present and not a placeholder."""
-    return F.coalesce(~col.isin("", "unknown", "missing"), F.lit(False))

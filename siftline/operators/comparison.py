@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from siftline import config as cfg
 from siftline.functions.once import computed_once
-from siftline.functions.text import known, pick
+from siftline.functions.text import pick
 from siftline.operators import lookup
 
 GROUP = "comparison_group_id"
@@ -27,6 +27,9 @@ CHECK_NAMES = (
     "controlled_variables_passed",
     "at_least_two_runs",
 )
+_NEWEST_FIRST = (
+    f"struct(coalesce(-unix_micros(try_cast(start_time AS TIMESTAMP)), {LAST}) AS age, run_id AS run_id)"
+)
 _PINNED = tuple(cfg.CONTROLLED_VARIABLE_TAG.values())
 _SHARED = ("comparison_type", "changed_variable")
 
@@ -37,13 +40,16 @@ def usable_groups(runs: DataFrame) -> DataFrame:
 
 
 def tag(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit("unknown"))
+    return F.expr(_tag(name))
+
+
+def _tag(name: str) -> str:
+    return f"coalesce({name}, 'unknown')"
 
 
 def newest_first() -> Column:
     """Ascending key of "latest start, then run id": the order in which a run store lists."""
-    started = F.unix_micros(F.col("start_time").try_cast("timestamp"))
-    return F.struct(F.coalesce(-started, F.lit(LAST)).alias("age"), F.col("run_id").alias("run_id"))
+    return F.expr(_NEWEST_FIRST)
 
 
 def variables(text: Column) -> Column:
@@ -53,17 +59,18 @@ def variables(text: Column) -> Column:
 
 def _presence() -> Column:
     """Bit set of the pinned tags a run carries."""
-    bits = [F.when(known(F.col(t)), 1 << k).otherwise(0) for k, t in enumerate(_PINNED)]
-    return reduce(lambda a, b: a + b, bits)
+    unknown = "('', 'unknown', 'missing')"
+    bits = [f"if({_tag(t)} NOT IN {unknown}, {1 << k}, 0)" for k, t in enumerate(_PINNED)]
+    return F.expr(" + ".join(bits))
 
 
-def _required(names: Column) -> Column:
+def _required(names: str) -> Column:
     """Bit set of the tags that a list of controlled variables asks for."""
     bits = [
-        F.when(F.array_contains(names, v), 1 << k).otherwise(0)
+        f"if(array_contains({names}, '{v}'), {1 << k}, 0)"
         for k, v in enumerate(cfg.CONTROLLED_VARIABLE_TAG)
     ]
-    return reduce(lambda a, b: a + b, bits)
+    return F.expr(" + ".join(bits))
 
 
 def _has_all(required: Column, present: Column) -> Column:
@@ -71,20 +78,12 @@ def _has_all(required: Column, present: Column) -> Column:
 
 
 def _best(metric: str, sign: int) -> Column:
-    value = F.col(metric).try_cast("double")
-    fields = [
-        (value * -sign).alias("key"),
-        newest_first().alias("order"),
-        F.col("run_id").alias("run_id"),
-        tag("variant_name").alias("variant_name"),
-        value.alias("value"),
-    ]
+    value = f"try_cast({metric} AS DOUBLE)"
+    fields = f"{-sign} * {value} AS key, {_NEWEST_FIRST} AS order, run_id AS run_id, "
+    fields += f"{_tag('variant_name')} AS variant_name, {value} AS value"
     if metric == "f1_macro":
-        fields += [
-            F.col("combined_weakest_class_recall").alias("recall"),
-            F.col("low_confidence_rate").alias("low_confidence"),
-        ]
-    return F.min(F.when(value.isNotNull() & ~F.isnan(value), F.struct(*fields)))
+        fields += ", combined_weakest_class_recall AS recall, low_confidence_rate AS low_confidence"
+    return F.expr(f"min(CASE WHEN {value} IS NOT NULL AND NOT isnan({value}) THEN struct({fields}) END)")
 
 
 def comparison_cells(runs: DataFrame) -> DataFrame:
@@ -99,8 +98,8 @@ def comparison_cells(runs: DataFrame) -> DataFrame:
     )
     statistics = {"n": F.count("*"), "head": F.min(head)}
     for name in (*_PINNED, *_SHARED):
-        statistics[f"min_{name}"] = F.min(tag(name))
-        statistics[f"max_{name}"] = F.max(tag(name))
+        statistics[f"min_{name}"] = F.expr(f"min({_tag(name)})")
+        statistics[f"max_{name}"] = F.expr(f"max({_tag(name)})")
     for title, metric, sign in cfg.BEST_RUN_METRICS:
         statistics[title] = _best(metric, sign)
     f1 = F.col("f1_macro").try_cast("double")
@@ -115,7 +114,9 @@ def comparison_cells(runs: DataFrame) -> DataFrame:
     group = W.partitionBy(GROUP)
     return (
         cells.withColumn("raw_run_count", F.sum("n").over(group))
-        .withColumn("required", _required(variables(F.min("head").over(group)["controlled"])))
+        .withColumn("_asked", variables(F.min("head").over(group)["controlled"]))
+        .withColumn("required", _required("_asked"))
+        .drop("_asked")
         .withColumn("complete", _has_all(F.col("required"), F.col("present")))
         .withColumn("complete_n", F.sum(F.when(F.col("complete"), F.col("n")).otherwise(0)).over(group))
         .filter(F.col("complete") | (F.col("complete_n") < 2))
@@ -144,22 +145,19 @@ def complete_runs(runs: DataFrame, cells: DataFrame | None = None) -> DataFrame:
 def _variable_checks() -> Column:
     """One struct per controlled variable of a merged group row."""
 
-    def state(name: Column) -> Column:
-        pinned = pick(name, cfg.CONTROLLED_VARIABLE_TAG)
-        low = pick_column(name, {v: F.col(f"min_{t}") for v, t in cfg.CONTROLLED_VARIABLE_TAG.items()})
-        high = pick_column(name, {v: F.col(f"max_{t}") for v, t in cfg.CONTROLLED_VARIABLE_TAG.items()})
-        single = (low == high) & ~low.isin("missing", "unknown")
-        return F.struct(
-            name.alias("controlled_variable"),
-            F.coalesce(pinned, F.lit("")).alias("tag"),
-            F.when(pinned.isNull(), F.lit("not_checked"))
-            .when(single, F.lit("passed"))
-            .otherwise(F.lit("failed"))
-            .alias("status"),
-            F.when(low == high, low).when(pinned.isNotNull(), F.lit("mixed")).alias("value"),
-        )
-
-    return F.transform("controlled", state)
+    arms = cfg.CONTROLLED_VARIABLE_TAG.items()
+    pinned = " ".join(f"WHEN '{v}' THEN '{t}'" for v, t in arms)
+    low, high = (" ".join(f"WHEN '{v}' THEN {side}_{t}" for v, t in arms) for side in ("min", "max"))
+    return F.expr(
+        f"""transform(
+          transform(controlled, v -> struct(v AS name, CASE v {pinned} END AS tag,
+            CASE v {low} END AS low, CASE v {high} END AS high)),
+          c -> struct(c.name AS controlled_variable, coalesce(c.tag, '') AS tag,
+            CASE WHEN c.tag IS NULL THEN 'not_checked'
+              WHEN c.low = c.high AND c.low NOT IN ('missing', 'unknown') THEN 'passed'
+              ELSE 'failed' END AS status,
+            CASE WHEN c.low = c.high THEN c.low WHEN c.tag IS NOT NULL THEN 'mixed' END AS value))"""
+    )
 
 
 def pick_column(name: Column, options: dict[str, Column]) -> Column:
@@ -184,8 +182,8 @@ def summarize_groups(cells: DataFrame) -> DataFrame:
         "f1_n": F.sum("f1_n"),
     }
     for name in (*_PINNED, *_SHARED):
-        merged[f"min_{name}"] = F.min(f"min_{name}")
-        merged[f"max_{name}"] = F.max(f"max_{name}")
+        merged[f"min_{name}"] = F.expr(f"min(min_{name})")
+        merged[f"max_{name}"] = F.expr(f"max(max_{name})")
     for title, _, _ in cfg.BEST_RUN_METRICS:
         merged[title] = F.min(title)
     rows = (
@@ -404,11 +402,12 @@ def with_advice(groups: DataFrame, limits: cfg.HistoryThresholds) -> DataFrame:
         "insufficient_metrics": [F.lit("missing best_f1_macro")],
     }
     name = F.col("recommendation_type")
+    kind_name = "recommendation_type"
     texts = {k: reason for k, (_, reason) in ADVICE.items() if reason is not None}
     return groups.withColumn("recommendation_type", kind).withColumns(
         {
-            "recommended_next_experiment": pick(name, {k: v for k, (v, _) in ADVICE.items()}),
-            "recommendation_reason": F.coalesce(pick(name, texts), F.col("blocked_reason")),
+            "recommended_next_experiment": pick(kind_name, {k: v for k, (v, _) in ADVICE.items()}),
+            "recommendation_reason": F.coalesce(pick(kind_name, texts), F.col("blocked_reason")),
             "evidence": pick_column(name, {k: F.array(*v) for k, v in evidence.items()}),
         }
     )

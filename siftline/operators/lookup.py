@@ -49,9 +49,7 @@ def attach(
     )
     if how == "inner":
         joined = joined.filter(F.col("_found").isNotNull())
-    return joined.select(
-        *[F.col(f"`{c}`") for c in rows.columns], *[F.col(f"_found.`{c}`").alias(c) for c in values]
-    )
+    return joined.selectExpr(*[f"`{c}`" for c in rows.columns], *[f"_found.`{c}` AS `{c}`" for c in values])
 
 
 def attach_bounded(rows: DataFrame, dim: DataFrame, on: str | list[str], bound: int) -> DataFrame:

@@ -93,7 +93,7 @@ def feature_map(features: DataFrame, col: str = "features") -> DataFrame:
 def encode_labels(events: DataFrame) -> DataFrame:
     """Add `label` (index of the action) and `label_error`."""
     action = F.col("action")
-    label = pick(action, {name: k for k, name in enumerate(cfg.KNOWN_ACTIONS)})
+    label = pick("action", {name: k for k, name in enumerate(cfg.KNOWN_ACTIONS)})
     problem = (
         F.when(F.col("parse_error").isNotNull(), None)
         .when(action.isNull(), F.lit("missing label: action"))
@@ -116,8 +116,8 @@ def rejected_rows(rows: DataFrame, line: str = "raw_log") -> DataFrame:
     return rows.filter(F.col("error").isNotNull()).withColumnRenamed(line, "line")
 
 
-def display_action(action: Column) -> Column:
-    """Model action to the action shown to users."""
+def display_action(action: str = "action") -> Column:
+    """Model action (column name) to the action shown to users."""
     return pick(action, cfg.DISPLAY_ACTION)
 
 
@@ -125,7 +125,7 @@ def with_action_dimensions(rows: DataFrame, action: str, policy: cfg.DecisionPol
     """Add the risk level and the approval flag of an action."""
     return rows.withColumns(
         {
-            "risk_level": pick(F.col(action), policy.action_risk),
-            "requires_approval": pick(F.col(action), policy.needs_approval),
+            "risk_level": pick(action, policy.action_risk),
+            "requires_approval": pick(action, policy.needs_approval),
         }
     )

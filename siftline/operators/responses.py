@@ -66,8 +66,8 @@ def validate_response(responses: DataFrame, policy: cfg.DecisionPolicy) -> DataF
             {
                 "strategy_used": F.lit(cfg.STRATEGY_FALLBACK),
                 "confidence": F.round("_confidence", 4),
-                "risk_level": pick(F.col("predicted_action"), policy.action_risk),
-                "requires_approval": pick(F.col("predicted_action"), policy.needs_approval),
+                "risk_level": pick("predicted_action", policy.action_risk),
+                "requires_approval": pick("predicted_action", policy.needs_approval),
                 "summary": _text("$.summary", ""),
                 "root_cause": _text("$.root_cause", ""),
                 "reason": _text("$.reason", cfg.TEXT_FALLBACK_REASON),

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from siftline import config as cfg
 from siftline.functions.text import fill, pick
 from siftline.operators import lookup, responses, similarity
-from siftline.operators.parse import display_action
 
 MACHINE_CONTEXT = ("recent_deployment", "pod_restart_count", "error_rate", "latency_p95")
 
@@ -54,21 +53,21 @@ def classifier_decision(
     Below the minimum confidence the decision is undecided and keeps the model's own
     action in `original_prediction`. The stored confidence is rounded afterwards.
     """
-    labels = dict(enumerate(cfg.KNOWN_ACTIONS))
+    labels = {k: cfg.DISPLAY_ACTION[a] for k, a in enumerate(cfg.KNOWN_ACTIONS)}
     shown = F.col("_shown")
     unsure = F.col("probability") < policy.min_confidence
     action = F.when(unsure, F.lit(cfg.UNDECIDED)).otherwise(shown)
     low_text = fill(cfg.TEXT_LOW_CONFIDENCE, shown, F.lit(str(policy.min_confidence)))
     return (
-        scored.withColumn("_shown", display_action(pick(F.col("predicted_label"), labels)))
+        scored.withColumn("_shown", pick("predicted_label", labels))
         .withColumn("predicted_action", action)
         .withColumns(
             {
                 "strategy_used": F.lit(cfg.STRATEGY_CLASSIFIER),
                 "original_prediction": F.when(unsure, shown),
                 "confidence": F.round("probability", 4),
-                "risk_level": pick(F.col("predicted_action"), policy.action_risk),
-                "requires_approval": pick(F.col("predicted_action"), policy.needs_approval),
+                "risk_level": pick("predicted_action", policy.action_risk),
+                "requires_approval": pick("predicted_action", policy.needs_approval),
                 "reason": F.when(unsure, low_text).otherwise(fill(cfg.TEXT_PREDICTED, shown)),
                 "input_text": F.col(text),
             }

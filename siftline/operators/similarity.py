@@ -215,8 +215,8 @@ def similarity_columns(policy: cfg.DecisionPolicy) -> dict[str, Column]:
         "strategy_used": F.lit(cfg.STRATEGY_SIMILARITY),
         "predicted_action": best["known_action"],
         "confidence": F.round(best["similarity"], 4),
-        "risk_level": pick(best["known_action"], policy.action_risk),
-        "requires_approval": pick(best["known_action"], policy.needs_approval),
+        "risk_level": pick("similar_incidents[0].known_action", policy.action_risk),
+        "requires_approval": pick("similar_incidents[0].known_action", policy.needs_approval),
         "reason": F.lit(cfg.TEXT_SIMILAR),
         "router_reason": F.when(
             best["similarity"] >= policy.exact_similarity, F.lit(cfg.TEXT_SIMILAR_EXACT)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from siftline import config as cfg
+from siftline.functions.durable import durable
 from siftline.operators import comparison, selection
 
 
@@ -50,7 +51,8 @@ def select_candidates(
     groups = comparison.summarize_groups(cells)
     kept = comparison.complete_runs(runs, cells)
     evidence = selection.check_evidence(runs, artifacts, contract or cfg.EvidenceContract())
-    evaluations = selection.evaluate_candidates(kept, evidence, baselines, runs, policy)
+    # The evaluations feed the winner, the transitions and the lifecycle; they are made once.
+    evaluations = durable(selection.evaluate_candidates(kept, evidence, baselines, runs, policy))
     current = selection.current_candidates(comparison.usable_groups(runs))
     guard = selection.baseline_guard(baselines, current)
     report = selection.selection_report(groups, guard, selection.select_candidates(evaluations))

@@ -55,20 +55,19 @@ def normalize_runs(values: DataFrame) -> DataFrame:
     rows = values.withColumn("value", value)
 
     def cell(kind: str, key: str):
-        return F.max(F.when((F.col("kind") == kind) & (F.col("key") == key), F.col("value")))
+        return f"max(value) FILTER (WHERE kind = '{kind}' AND key = '{key}')"
 
-    tags = {t: F.coalesce(cell("tags", t), F.lit("unknown")) for t in RUN_TAGS}
-    tags["comparison_group_id"] = F.coalesce(
-        cell("tags", "comparison_group_id"),
-        cell("tags", "fair_comparison_group_id"),
-        F.lit("unknown"),
-    )
-    tags["controlled_variables"] = F.coalesce(cell("tags", "controlled_variables"), F.lit(""))
-    metrics = {m: cell("metrics", m).try_cast("double") for m in RUN_METRICS}
+    def text(kind: str, *keys: str, default: str = "unknown"):
+        return F.expr(f"coalesce({', '.join(cell(kind, k) for k in keys)}, '{default}')")
+
+    tags = {t: text("tags", t) for t in RUN_TAGS}
+    tags["comparison_group_id"] = text("tags", "comparison_group_id", "fair_comparison_group_id")
+    tags["controlled_variables"] = text("tags", "controlled_variables", default="")
+    metrics = {m: F.expr(f"try_cast({cell('metrics', m)} AS DOUBLE)") for m in RUN_METRICS}
     info = {
-        "run_name": F.coalesce(cell("info", "run_name"), F.lit("unknown")),
-        "status": F.coalesce(cell("info", "status"), F.lit("unknown")),
-        "start_time": F.coalesce(cell("info", "start_time"), F.lit("")),
+        "run_name": text("info", "run_name"),
+        "status": text("info", "status"),
+        "start_time": text("info", "start_time", default=""),
     }
     is_param = (F.col("kind") == "params") & F.col("value").isNotNull()
     params = F.map_from_entries(F.collect_set(F.when(is_param, F.struct("key", "value"))))
