@@ -76,8 +76,8 @@ def t1(spark, sf):
     query("SELECT term, count(*) AS occurrences FROM grams GROUP BY ALL", "grams"),
 )
 def t2(spark, sf):
-    grams = tfidf.tokenize(_docs(spark, sf), DOC, TEXT, max_n=2)
-    return grams.groupBy("term").agg(F.count("*").alias("occurrences"))
+    grams = tfidf.term_counts(_docs(spark, sf), DOC, TEXT, max_n=2)
+    return grams.groupBy("term").agg(F.sum("tf").alias("occurrences"))
 
 
 @register(
