@@ -38,15 +38,9 @@ def reading(col: Column, low: int = 0, high: int = 100) -> tuple[Column, Column]
     return value, F.when(usable, F.lit(0)).otherwise(F.lit(1))
 
 
-def softmax_top(margins: list[Column]) -> tuple[Column, Column]:
-    """(index of the first largest margin, its softmax probability)."""
-    top = F.greatest(*margins)
-    index = None
-    for k, margin in enumerate(margins):
-        hit = margin == top
-        index = F.when(hit, F.lit(k)) if index is None else index.when(hit, F.lit(k))
-    total = None
-    for margin in margins:
-        term = F.exp(margin - top)
-        total = term if total is None else total + term
-    return index, F.lit(1.0) / total
+def softmax_top(margins: list[str]) -> tuple[Column, Column]:
+    """(index of the first largest margin column, its softmax probability)."""
+    top = f"greatest({', '.join(margins)})"
+    index = " ".join(f"WHEN {m} = {top} THEN {k}" for k, m in enumerate(margins))
+    total = " + ".join(f"exp({m} - {top})" for m in margins)
+    return F.expr(f"CASE {index} END"), F.expr(f"1D / ({total})")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline import config as cfg
+from siftline.functions.durable import durable
 from siftline.functions.text import fill, pick
 from siftline.operators import lookup, responses, similarity
 
@@ -163,35 +162,58 @@ def merge_errors(decisions: DataFrame, error: str = "parse_error") -> DataFrame:
 
 
 def fallback_decisions(
-    pending: DataFrame, answers: DataFrame, policy: cfg.DecisionPolicy, line_id: str
+    pending: DataFrame,
+    answers: DataFrame,
+    policy: cfg.DecisionPolicy,
+    line_id: str,
+    settled: Column | None = None,
+    settled_columns: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Decisions of pending rows from their response; an unusable response is an error.
 
     pending: line_id, input_text, similar_incidents and more; answers: line_id, raw_text.
-    Both sides have one row per line, so the join key is even.
+    Both sides have one row per line, so the join key is even. Rows for which `settled`
+    holds take `settled_columns` instead and their response is not parsed.
     """
-    texts = answers.select(line_id, F.col("raw_text").alias("_raw_text"))
-    base = pending.drop(*DECISION_TYPES.keys() - {"input_text", "similar_incidents"})
-    rows = responses.extract_json(base.join(texts, line_id, "left"), "_raw_text")
+    settled = F.lit(False) if settled is None else settled
+    chosen = settled_columns or {}
+    texts = answers.select(line_id, F.col("raw_text").alias("_answer"))
+    kept = {"input_text", "similar_incidents", "original_prediction"}
+    base = pending.withColumns({f"_own_{name}": value for name, value in chosen.items()}).withColumn(
+        "_settled", settled
+    )
+    base = base.drop(*DECISION_TYPES.keys() - kept)
+    joined = base.join(texts, line_id, "left")
+    joined = joined.withColumn("_raw_text", F.when(~F.col("_settled"), F.col("_answer")))
+    rows = responses.extract_json(joined, "_raw_text")
     rows = responses.validate_response(rows, policy)
-    broken = F.col("response_error").isNotNull()
+
+    own = F.col("_settled")
+    broken = ~own & F.col("response_error").isNotNull()
     failed = error_columns(F.col("response_error"))
-    return rows.withColumns(
-        {
-            name: F.when(broken, failed[name]).otherwise(F.col(name))
-            for name in failed
-            if name != "error"
-        }
-        | {
-            name: F.when(~broken, F.col(name))
-            for name in ("summary", "root_cause", "missing_context", "similar_incidents", "input_text")
-        }
-        | {
-            "machine_context": F.when(~broken, machine_context()),
-            "router_reason": F.when(~broken, F.lit(cfg.TEXT_FALLBACK_ROUTE)),
-            "error": F.col("response_error"),
-        }
-    ).drop("_raw_text", "json_text", "parsed", "response_error")
+    answered = ~own & ~broken
+    answer_columns = {name: F.col(name) for name in failed if name != "error"} | {
+        "router_reason": F.lit(cfg.TEXT_FALLBACK_ROUTE)
+    }
+
+    def pick_one(name: str) -> Column:
+        value = F.when(answered, answer_columns[name])
+        if name in failed:
+            value = value.when(broken, failed[name])
+        return value.when(own, F.col(f"_own_{name}")) if name in chosen else value
+
+    columns = {name: pick_one(name) for name in answer_columns}
+    columns |= {n: F.when(answered, F.col(n)) for n in ("summary", "root_cause", "missing_context")}
+    columns |= {n: F.when(~broken, F.col(n)) for n in ("similar_incidents", "input_text")}
+    columns |= {
+        "machine_context": F.when(answered, machine_context()),
+        "error": F.when(broken, F.col("response_error")),
+        "original_prediction": F.when(own, F.col("original_prediction"))
+        if "original_prediction" in pending.columns
+        else F.lit(None).cast("string"),
+    }
+    helpers = ("_settled", "_answer", "_raw_text", "json_text", "parsed", "response_error")
+    return rows.withColumns(columns).drop(*helpers, *[f"_own_{name}" for name in chosen])
 
 
 def conform(decisions: DataFrame, keep: tuple[str, ...]) -> DataFrame:
@@ -220,49 +242,53 @@ def route(
 ) -> DataFrame:
     """The whole router. Without memory and answers the fallback counts as disabled.
 
-    Only rows the fast path left open reach the similarity search, which runs once per
-    distinct query vector; only rows without a strong match reach the response join.
+    Rows that the fast path accepts or that cannot be read are settled in one pass. Only the
+    others reach the similarity search, which runs once per distinct query vector, and their
+    response is parsed only without a strong match.
     """
     keep = (line_id, raw)
-    sound = decisions.filter(F.col(error).isNull())
-    branches = [
-        conform(accept(sound, policy), keep),
-        conform(error_decisions(decisions.select(*keep, error), error), keep),
-    ]
     if memory is None or answers is None or query_vectors is None:
-        branches.append(conform(disabled_fallback(sound, policy), keep))
-    else:
-        open_rows = unresolved(sound, policy)
-        wanted = open_rows.groupBy(query_key).agg(F.count("*").alias("_lines"))
-        vectors = query_vectors.withColumnRenamed("query_id", query_key).join(
-            wanted.select(query_key), query_key, "left_semi"
-        )
-        matches = similarity.top_incidents(
-            vectors.withColumnRenamed(query_key, "query_id"),
+        routed = merge_errors(route_without_fallback(decisions, policy), error)
+        return conform(routed, keep).withColumn("status", _status())
+
+    settled = F.col(error).isNotNull() | is_accepted(policy)
+    done = decisions.filter(F.coalesce(settled, F.lit(False))).withColumn(
+        "router_reason", F.lit(cfg.TEXT_ACCEPTED)
+    )
+    open_rows = decisions.filter(F.col(error).isNull() & ~is_accepted(policy))
+
+    wanted = open_rows.groupBy(query_key).agg(F.count("*").alias("_lines"))
+    vectors = query_vectors.join(
+        wanted.select(F.col(query_key).alias("query_id")), "query_id", "left_semi"
+    )
+    matches = similarity.vote(
+        similarity.top_incidents(
+            vectors,
             memory,
             threshold=policy.similarity_threshold,
             exclude_same_id=exclude_same_id,
-        )
-        matches = similarity.vote(matches, policy).select(
-            F.col("query_id").alias(query_key), "similar_incidents", "strong_and_consistent"
-        )
-        # Many lines share one text and so one vector: the key may be heavy.
-        dim = matches.join(wanted, query_key)
-        matched = lookup.attach(
-            open_rows.drop("similar_incidents"), dim, query_key, "_lines", spread=line_id
-        )
-        strong = F.coalesce("strong_and_consistent", F.lit(False))
-        by_match = matched.filter(strong).withColumns(similarity.similarity_columns(policy))
-        pending = matched.filter(~strong).withColumn(
-            "similar_incidents",
-            F.coalesce(
-                "similar_incidents",
-                F.array().cast(DECISION_TYPES["similar_incidents"]),
-            ),
-        )
-        branches.append(conform(by_match, keep))
-        branches.append(conform(fallback_decisions(pending, answers, policy, line_id), keep))
-    routed = reduce(DataFrame.unionByName, branches)
-    return routed.withColumn(
-        "status", F.when(F.col("error").isNull(), F.lit("ok")).otherwise(F.lit("error"))
+        ),
+        policy,
+    ).select(F.col("query_id").alias(query_key), "similar_incidents", "strong_and_consistent")
+    # Many lines share one text and so one vector: the key may be heavy. The matches are
+    # read more than once and are the dear part, so they are kept.
+    dim = durable(matches.join(wanted, query_key))
+    matched = lookup.attach(
+        open_rows.drop("similar_incidents"), dim, query_key, "_lines", spread=line_id
     )
+    none = F.array().cast(DECISION_TYPES["similar_incidents"])
+    matched = matched.withColumn("similar_incidents", F.coalesce("similar_incidents", none))
+    resolved = fallback_decisions(
+        matched,
+        answers,
+        policy,
+        line_id,
+        settled=F.coalesce("strong_and_consistent", F.lit(False)),
+        settled_columns=similarity.similarity_columns(policy),
+    )
+    routed = conform(merge_errors(done, error), keep).unionByName(conform(resolved, keep))
+    return routed.withColumn("status", _status())
+
+
+def _status() -> Column:
+    return F.when(F.col("error").isNull(), F.lit("ok")).otherwise(F.lit("error"))

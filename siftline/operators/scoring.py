@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siftline import config as cfg
 from siftline.functions.numeric import softmax_top
 from siftline.functions.once import computed_once
+from siftline.functions.text import sql_literal
 
 
 @dataclass(frozen=True)
@@ -21,20 +22,21 @@ class LinearModel:
     features: tuple[str, ...] = cfg.FEATURE_NAMES
 
     def margins(self) -> list[Column]:
+        """Linear margin of each class."""
         out = []
         for intercept, row in zip(self.intercepts, self.weights, strict=True):
-            total = F.lit(float(intercept))
+            terms = [sql_literal(float(intercept))]
             for name, weight in zip(self.features, row, strict=True):
                 if weight:
-                    total = total + F.lit(float(weight)) * F.col(name)
-            out.append(total)
+                    terms.append(f"({sql_literal(float(weight))}) * {name}")
+            out.append(F.expr(" + ".join(terms)))
         return out
 
 
 def score(features: DataFrame, model: LinearModel) -> DataFrame:
     """Add `predicted_label` and its softmax `probability`."""
     margins = {f"_margin_{k}": margin for k, margin in enumerate(model.margins())}
-    label, probability = softmax_top([F.col(name) for name in margins])
+    label, probability = softmax_top(list(margins))
     scored = computed_once(
         features.withColumns(margins), {"predicted_label": label, "probability": probability}
     )

@@ -49,10 +49,11 @@ def select_candidates(
     policy = policy or cfg.SelectionPolicy()
     cells = comparison.comparison_cells(runs)
     groups = comparison.summarize_groups(cells)
-    kept = comparison.complete_runs(runs, cells)
+    slim = runs.drop("params", "metrics", "tags")
+    kept = comparison.complete_runs(slim, cells)
     evidence = selection.check_evidence(runs, artifacts, contract or cfg.EvidenceContract())
     # The evaluations feed the winner, the transitions and the lifecycle; they are made once.
-    evaluations = durable(selection.evaluate_candidates(kept, evidence, baselines, runs, policy))
+    evaluations = durable(selection.evaluate_candidates(kept, evidence, baselines, slim, policy))
     current = selection.current_candidates(comparison.usable_groups(runs))
     guard = selection.baseline_guard(baselines, current)
     report = selection.selection_report(groups, guard, selection.select_candidates(evaluations))
