@@ -10,12 +10,13 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from catalog import registry
 from tests.oracle_check import compare, connect
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ("s1_read_log_lines", "p5_feature_row", "r11_route_cascade", "r12_check_policy", "a9_latency_percentiles", "t3_tfidf_fit",
           "d1_stratified_split", "r5_top_incidents", "c13_history_groups", "k8_selection_report", "l5_trace_hash_audit", "l7_resolve_patches")
-NAMES = sorted(contract.oracle_sql()) if os.environ.get("SIFTLINE_ALL_QUERIES") == "1" else SAMPLE
+NAMES = sorted(registry.ORACLE) if os.environ.get("SIFTLINE_ALL_QUERIES") == "1" else SAMPLE
 
 # Ids of the survey's operator inventory.
 INVENTORY = (
@@ -32,7 +33,7 @@ def test_every_operator_is_registered():
 
 
 def test_only_fits_lack_sql():
-    assert all(name[0] == "m" for name in set(contract.queries()) - set(contract.oracle_sql()))
+    assert all(name[0] == "m" for name in set(registry.QUERIES) - set(registry.ORACLE))
 
 
 def test_entry(spark):
