@@ -30,9 +30,39 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(bpe_encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftline.llm.language_id import identify_languages, learn_profiles
+
+    docs = table(spark, sf_dir, "documents")
+    return identify_languages(docs, learn_profiles(docs))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftline.llm.secrets import digests, scan_secrets
+
+    return digests(scan_secrets(table(spark, sf_dir, "documents")))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftline.llm.quality_classifier import fit, score_documents
+
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftline.llm.quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
+    "op2_language": op2_language,
     "op3_sharding": op3_sharding,
     "op6_bpe": op6_bpe,
+    "op7_secrets": op7_secrets,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLE: dict[str, str] = {}
