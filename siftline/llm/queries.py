@@ -50,6 +50,12 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftline.llm.fingerprints import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftline.llm.quality_rules import quality_rules
 
@@ -63,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op6_bpe": op6_bpe,
     "op7_secrets": op7_secrets,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_fingerprints": op9_fingerprints,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE: dict[str, str] = {}
