@@ -24,6 +24,13 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftline.llm.pii import digests, find_personal_data, fit_detector
+
+    docs = table(spark, sf_dir, "documents")
+    return digests(find_personal_data(docs, fit_detector(docs)))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftline.llm.bpe import bpe_encode_decode, digests
 
@@ -66,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_language": op2_language,
     "op3_sharding": op3_sharding,
+    "op4_pii": op4_pii,
     "op6_bpe": op6_bpe,
     "op7_secrets": op7_secrets,
     "op8_quality_classifier": op8_quality_classifier,
