@@ -133,3 +133,24 @@ class RunCache:
         starts = np.cumsum(self.lengths) - self.lengths
         at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         return self.flat, starts[at], self.lengths[at]
+
+
+# A key with more than this share of the rows, and at least so many of them, is joined apart.
+HOT_SHARE, HOT_LEAST = 1 / 1000, 1_000
+
+
+def join_uneven(rows: DataFrame, dim: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of `rows` to `dim` (one row per key) that no heavy first key slows down.
+
+    Keys with over a thousandth of the rows, so a thousand at most, are looked up in a
+    broadcast of their rows of `dim`; all others take a shuffle. `rows` is read twice and should
+    be a written table.
+    """
+    counts = rows.filter(F.col(keys[0]).isNotNull()).groupBy(keys[0]).agg(F.count("*").alias("n"))
+    bound = max(HOT_LEAST, int(rows.count() * HOT_SHARE))
+    hot = [r[0] for r in counts.filter(F.col("n") > bound).select(keys[0]).collect()]
+    if not hot:
+        return rows.join(dim, keys, "left")
+    is_hot = F.coalesce(F.col(keys[0]).isin(hot), F.lit(False))
+    few = dim.filter(F.col(keys[0]).isin(hot))
+    return rows.filter(is_hot).join(F.broadcast(few), keys, "left").unionByName(rows.filter(~is_hot).join(dim.filter(~is_hot), keys, "left"))

@@ -31,6 +31,12 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find_personal_data(docs, fit_detector(docs)))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftline.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftline.llm.bpe import bpe_encode_decode, digests
 
@@ -74,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op2_language": op2_language,
     "op3_sharding": op3_sharding,
     "op4_pii": op4_pii,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_bpe": op6_bpe,
     "op7_secrets": op7_secrets,
     "op8_quality_classifier": op8_quality_classifier,
