@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -13,8 +15,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_local_folder = ""
 # Bytes of text that one Arrow step handles at once, whatever the batch size is.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +31,9 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="siftline-llm-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    global _local_folder
+    _local_folder = _local_folder or tempfile.mkdtemp(prefix="siftline-llm-")
+    return _local_folder
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -50,6 +53,13 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def give_back() -> None:
+    """Return freed memory to the system, as Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut where `column` passes `limit` bytes; a longer single row stays alone."""
     for batch in batches:
@@ -63,6 +73,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        give_back()
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -112,7 +123,7 @@ class RunCache:
     and results do not depend on it.
     """
 
-    def __init__(self, compute, limit: int = 400_000):
+    def __init__(self, compute, limit: int = 600_000):
         self.compute, self.limit = compute, limit
         self.clear()
 
