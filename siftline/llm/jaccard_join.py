@@ -5,8 +5,8 @@ Equal sets are one node. Nodes that share a least hashed shingle form buckets; t
 against their bucket's leader become a group with it, in three rounds with three hashes. The
 matrix holds for every shingle the groups it occurs in, only for the columns that the threshold
 needs: a set's rarest quarter, in one global order. Two groups that meet in a column and whose
-sizes and positions allow the threshold are opened: a query is first bounded by its overlap with
-the union of the group's shingles, then compared with the members until one links. Links between
+sizes and positions allow the threshold are opened, together with the groups that meet them too:
+a query is first bounded by its overlap with the union of the members' shingles, then compared. Links between
 groups are closed into components. The order only decides how much work there is; every link
 between different groups is found.
 """
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import coded, join_uneven, mix64, slices, split_words, written
+from siftline.llm.common import coded, gather_ragged, join_uneven, mix64, slices, split_words, written
 
 WORDS = 5
 ROUNDS = 3
@@ -110,49 +110,54 @@ def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _linked(roles: DataFrame) -> DataFrame:
-    """(node, grp) for the queries that link to a member of the group they are sent to.
+    """(node, grp): the queries and the groups of the members that they link to.
 
-    `roles` has grp, part, query, node and tokens; all rows of a part meet in one task, members
-    first, and queries pass by one at a time.
+    `roles` has block, part, query, node, grp and tokens. All rows of a part meet in one task,
+    members first; queries pass by one at a time. The members' matrix (for each shingle of their
+    union the members that have it) gives a query's overlap with the union, and, if that allows
+    a link, with every member.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, members, union = None, [], None
+        current, members, groups, matrix = None, [], [], None
         for batch in slices(batches, "tokens", 4 << 20):
-            out: list[tuple[int, int]] = []
-            for grp, part, query, node, blob in zip(*[batch.column(c).to_pylist() for c in ("grp", "part", "query", "node", "tokens")], strict=True):
-                if (grp, part) != current:
-                    current, members, union = (grp, part), [], None
+            out: set[tuple[int, int]] = set()
+            columns = [batch.column(c).to_pylist() for c in ("block", "part", "query", "node", "grp", "tokens")]
+            for block, part, query, node, grp, blob in zip(*columns, strict=True):
+                if (block, part) != current:
+                    current, members, groups, matrix = (block, part), [], [], None
                 own = np.frombuffer(blob, np.uint64)
                 if not query:
                     members.append(own)
+                    groups.append(grp)
                     continue
                 if not members:
                     continue
-                if union is None:
-                    union = members[0] if len(members) == 1 else np.unique(np.concatenate(members))
-                if _common(own, union) < needed(len(own)):
+                if matrix is None:
+                    matrix = _member_matrix(members)
+                    sizes, group_of = np.array([len(m) for m in members]), np.array(groups)
+                union, starts, counts, holders = matrix
+                at = np.minimum(np.searchsorted(union, own), len(union) - 1)
+                at = at[union[at] == own]
+                if len(at) < needed(len(own)):
                     continue
-                for member in members:
-                    n = len(own) + len(member)
-                    if 4 * min(len(own), len(member)) < 3 * max(len(own), len(member)):
-                        continue
-                    common = _common(own, member)
-                    if 100 * common >= 75 * (n - common):
-                        out.append((node, grp))
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], names=["node", "grp"])
+                common = np.bincount(gather_ragged(holders, starts[at], counts[at]), minlength=len(sizes))
+                linked = 100 * common >= 75 * (sizes + len(own) - common)
+                out.update((node, g) for g in set(group_of[linked].tolist()))
+            rows = sorted(out)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["node", "grp"])
 
-    dealt = roles.repartition("grp", "part").sortWithinPartitions("grp", "part", "query")
-    return dealt.select("grp", "part", "query", "node", "tokens").mapInArrow(run, "node long, grp long").distinct()
+    dealt = roles.repartition("block", "part").sortWithinPartitions("block", "part", "query")
+    return dealt.select("block", "part", "query", "node", "grp", "tokens").mapInArrow(run, "node long, grp long").distinct()
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    return int(np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a)) if len(b) else 0
+def _member_matrix(members: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The union of the members' shingles, and for each one where its holders stand and how many."""
+    tokens = np.concatenate(members)
+    holders = np.repeat(np.arange(len(members)), [len(m) for m in members])
+    order = np.argsort(tokens, kind="stable")
+    union, starts, counts = np.unique(tokens[order], return_index=True, return_counts=True)
+    return union, starts, counts, holders[order]
 
 
 def _gathered(docs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
@@ -169,6 +174,7 @@ def _gathered(docs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     roles = queries.select("grp", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(1).alias("query"), "node").unionByName(
         members.select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("query"), F.col("grp").alias("node"))
     )
+    roles = roles.withColumn("block", F.col("grp"))
     return _linked(roles.join(sets, "node")).select(F.col("node").alias("root"), "grp")
 
 
@@ -271,30 +277,43 @@ def _meeting(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _opened(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(g1, g2) of the group pairs in which a member of the smaller one links to one of the larger."""
-    ends = pairs.select(F.col("g1").alias("root")).union(pairs.select(F.col("g2").alias("root"))).distinct()
-    sizes = written(nodes.join(ends, "root", "left_semi").groupBy("root").agg(F.count("*").alias("members")), "jaccard-sizes")
-    left, right = (sizes.select(F.col("root").alias(g), F.col("members").alias(m)) for g, m in (("g1", "m1"), ("g2", "m2")))
-    both = pairs.join(left, "g1").join(right, "g2")
+    """(g1, g2): the group pairs between which a member of one links to a member of the other.
+
+    Groups that meet often are laid in the same block: a block is named by the smallest group
+    within two steps of meeting, and cut into chunks of members. A query travels once to each
+    chunk with partners of its own, however many they are.
+    """
+    both = pairs.select("g1", "g2").union(pairs.select("g2", "g1"))
+    near = both.groupBy(F.col("g1").alias("root")).agg(F.min("g2").alias("block"))
+    near = written(near.select("root", F.least("root", "block").alias("block")), "jaccard-near")
+    next_one = both.join(near.select(F.col("root").alias("g2"), "block"), "g2").groupBy(F.col("g1").alias("root")).agg(F.min("block").alias("further"))
+    blocks = near.join(next_one, "root").select("root", F.least("block", "further").alias("block"))
+    held = written(nodes.select("node", "root").join(blocks, "root"), "jaccard-held")
+    sizes = held.groupBy("block").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    members = join_uneven(held, sizes, ["block"]).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    members = written(members.select("node", "root", "block", "chunk"), "jaccard-members")
+    # The smaller group asks, the larger one is opened.
+    count = held.groupBy("root").agg(F.count("*").alias("members"))
+    left, right = (count.select(F.col("root").alias(g), F.col("members").alias(m)) for g, m in (("g1", "m1"), ("g2", "m2")))
     turned = F.col("m1") > F.col("m2")
-    both = both.select(
-        F.when(turned, F.col("g2")).otherwise(F.col("g1")).alias("root"),
-        F.when(turned, F.col("g1")).otherwise(F.col("g2")).alias("grp"),
-        F.least("m1", "m2").alias("few"),
-        F.ceil(F.greatest("m1", "m2") / CHUNK).cast("int").alias("chunks"),
+    asked = pairs.join(left, "g1").join(right, "g2").select(
+        F.when(turned, F.col("g2")).otherwise(F.col("g1")).alias("root"), F.when(turned, F.col("g1")).otherwise(F.col("g2")).alias("grp")
+    )
+    places = members.select(F.col("root").alias("grp"), "block", "chunk").distinct()
+    targets = written(asked.join(places, "grp").select("root", "block", "chunk").distinct(), "jaccard-targets")
+    queries = written(held.select("node", "root").join(targets, "root"), "jaccard-queries")
+    salts = written(queries.groupBy("block", "chunk").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("salts")), "jaccard-salts")
+    asking = queries.join(salts, ["block", "chunk"]).select(
+        "block", "chunk", "salts", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), F.lit(1).alias("query"), "node", F.col("root").alias("grp")
+    )
+    opened = members.join(salts, ["block", "chunk"]).select(
+        "block", "chunk", "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("query"), "node", F.col("root").alias("grp")
     )
-    both = written(both, "jaccard-open")
-    salts = both.groupBy("grp", "chunks").agg(F.ceil(F.sum("few") / QUERIES).cast("int").alias("salts"))
-    salts = written(salts, "jaccard-salts")
-    members = nodes.select("node", F.col("root").alias("grp")).join(salts, "grp")
-    members = members.select("grp", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), "salts", "node")
-    members = members.select("grp", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "salts", "chunk", F.lit(0).alias("query"), "node")
-    queries = nodes.select("node", "root").join(both, "root").join(salts.select("grp", "salts"), "grp")
-    queries = queries.select("grp", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), "salts", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("query"), "node")
-    roles = written(members.unionByName(queries).select("grp", (F.col("chunk").cast("long") * F.col("salts") + F.col("salt")).alias("part"), "query", "node"), "jaccard-roles")
+    part = (F.col("chunk").cast("long") * F.col("salts") + F.col("salt")).alias("part")
+    roles = written(opened.unionByName(asking).select("block", part, "query", "node", "grp"), "jaccard-roles")
     sets = written(_sets_of(docs, roles.select("node").distinct()), "jaccard-sets")
-    links = _linked(roles.join(sets, "node"))
-    return links.join(nodes.select("node", "root"), "node").select(F.col("root").alias("g1"), F.col("grp").alias("g2")).distinct()
+    links = _linked(roles.join(sets, "node")).withColumnRenamed("grp", "g2")
+    return links.join(held.select("node", F.col("root").alias("g1")), "node").filter("g1 != g2").select("g1", "g2").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

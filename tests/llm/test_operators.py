@@ -249,8 +249,11 @@ def test_matrix_meeting_is_complete():
     rnd = np.random.default_rng(4)
     for n in (1, 2, 3, 4, 5, 50, 99):
         assert jaccard_join.needed(n) == -(-3 * n // 4)
-    a = np.unique(rnd.integers(0, 2**63, 80).astype(np.uint64))
-    assert jaccard_join._common(a, a[:30]) == 30 and jaccard_join._common(a, a[:0]) == 0
+    a, b = (np.unique(rnd.integers(0, 60, 40).astype(np.uint64)) for _ in range(2))
+    union, starts, counts, holders = jaccard_join._member_matrix([a, b])
+    assert union.tolist() == sorted({*a.tolist(), *b.tolist()})
+    for token, start, count in zip(union.tolist(), starts.tolist(), counts.tolist(), strict=True):
+        assert sorted(holders[start : start + count].tolist()) == [k for k, s in enumerate((a, b)) if token in s]
 
 
 def test_fingerprints(spark):
