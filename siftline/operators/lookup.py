@@ -50,10 +50,3 @@ def attach(
     if how == "inner":
         joined = joined.filter(F.col("_found").isNotNull())
     return joined.selectExpr(*[f"`{c}`" for c in rows.columns], *[f"_found.`{c}` AS `{c}`" for c in values])
-
-
-def attach_bounded(rows: DataFrame, dim: DataFrame, on: str | list[str], bound: int) -> DataFrame:
-    """Left join to a dimension whose row count is limited to `bound` by its construction."""
-    if bound > 100_000:
-        raise ValueError("too large to broadcast; use attach()")
-    return rows.join(F.broadcast(dim), on, "left")

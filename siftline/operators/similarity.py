@@ -44,8 +44,6 @@ def cosine(a: Column, b: Column) -> Column:
 
 def _unit_rows(vectors: pd.Series) -> np.ndarray:
     matrix = np.array(vectors.tolist(), dtype=np.float64)
-    if matrix.size == 0:
-        return matrix.reshape(0, 0)
     norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
@@ -83,6 +81,16 @@ def _best_in_block(
 
 def _match_frame(
     queries: pd.DataFrame, memory: pd.DataFrame, k: int, threshold: float, exclude_same_id: bool
+) -> Iterator[pd.DataFrame]:
+    """Matches of queries and memory rows whose vectors have the same length."""
+    for length, own in queries.groupby(queries["embedding"].map(len)):
+        same = memory[memory["embedding"].map(len) == length]
+        if length and len(same):
+            yield from _match_even(own, same, k, threshold, exclude_same_id)
+
+
+def _match_even(
+    queries: pd.DataFrame, memory: pd.DataFrame, k: int, threshold: float, exclude_same_id: bool
 ) -> Iterator[pd.DataFrame]:
     memory = memory.sort_values("incident_id", ignore_index=True)
     unit_memory = _unit_rows(memory["embedding"])
@@ -158,9 +166,13 @@ def top_incidents(
     known_action, embedding. Similarity is rounded to four digits and decides the order,
     equal values by id; `is_similar_enough` is taken on the unrounded value. The memory is
     broadcast only when a count shows it small; otherwise both sides are cut into blocks.
+    Null vectors, vectors with null or NaN entries and vectors of another length match nothing;
+    a query without a match keeps its row with an empty list.
     """
-    queries = queries.select("query_id", "embedding")
-    memory = memory.select(*INCIDENT_FIELDS, "embedding")
+    usable = F.coalesce(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v)), F.lit(False))
+    asked = queries.select(F.col("query_id").cast("bigint"))
+    queries = queries.select("query_id", "embedding").filter(usable)
+    memory = memory.select(*INCIDENT_FIELDS, "embedding").filter(usable)
     if memory.limit(broadcast_rows + 1).count() <= broadcast_rows:
         found = _against_broadcast(queries, memory.toPandas(), k, threshold, exclude_same_id)
     else:
@@ -168,7 +180,9 @@ def top_incidents(
         found = _against_blocks(queries, memory, k, threshold, exclude_same_id, *blocks)
 
     # At most k rows per query and memory block get here.
+    found = found.unionByName(asked, allowMissingColumns=True)
     match = F.struct(*INCIDENT_FIELDS, "similarity", "is_similar_enough")
+    match = F.when(F.col("incident_id").isNotNull(), match)
     ordered = F.array_sort(
         F.collect_list(match),
         lambda a, b: F.when(a.similarity > b.similarity, -1)

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from siftline.functions.durable import durable
 from siftline.functions.hashing import fingerprint, lane_sums, row_digest
+from siftline.operators.lookup import attach
 
 # Leading hex digits of the order hash that form a cell: 16**5, about a million cells per
 # stratum, so a cell holds a millionth of a stratum's rows.
@@ -18,7 +20,7 @@ def order_hash(seed: int, id_col: Column) -> Column:
 
 
 def split_cutoffs(rows: DataFrame, strata: str, id_col: str, test_share: float, seed: int) -> DataFrame:
-    """Per stratum the last (hash, id) that still belongs to the test part.
+    """Per stratum the last (hash, id) that still belongs to the test part, and its row count.
 
     The rank is found by counting: rows per hash cell first, then only the rows of the
     one cell the cut falls into. A stratum is never sorted as a whole.
@@ -31,16 +33,17 @@ def split_cutoffs(rows: DataFrame, strata: str, id_col: str, test_share: float,
     per_stratum = W.partitionBy("_stratum")
     cut = (
         cells.withColumn("_upto", F.sum("_n").over(per_stratum.orderBy("_cell")))
-        .withColumn("_wanted", F.ceil(F.lit(test_share) * F.sum("_n").over(per_stratum)))
+        .withColumn("_rows", F.sum("_n").over(per_stratum))
+        .withColumn("_wanted", F.ceil(F.lit(test_share) * F.col("_rows")))
         .filter("_wanted > _upto - _n AND _wanted <= _upto")
-        .select("_stratum", "_cell", (F.col("_wanted") - (F.col("_upto") - F.col("_n"))).alias("_left"))
+        .select("_stratum", "_cell", "_rows", (F.col("_wanted") - (F.col("_upto") - F.col("_n"))).alias("_left"))
     )
     inside = keyed.join(cut, ["_stratum", "_cell"])
     rank = F.row_number().over(W.partitionBy("_stratum", "_cell").orderBy("_key"))
     return (
         inside.withColumn("_rank", rank)
         .filter("_rank = _left")
-        .select(F.col("_stratum").alias(strata), F.col("_key").alias("_cutoff"))
+        .select(F.col("_stratum").alias(strata), F.col("_key").alias("_cutoff"), "_rows")
     )
 
 
@@ -55,15 +58,20 @@ def stratified_split(
     """Add `split` ('test' or 'train'): in every stratum the first ceil(share * n) rows by
     hashed id are the test part.
 
-    `max_strata` is the number of labels the caller knows; it bounds the broadcast of cut-offs.
+    Up to `max_strata` cut-offs are broadcast; more of them, by count, take the join that splits
+    heavy keys. The result is the same.
     """
     if max_strata > 10_000:
-        raise ValueError("strata have to be a small label set")
-    cutoffs = F.broadcast(split_cutoffs(rows, strata, id_col, test_share, seed).limit(max_strata))
+        raise ValueError("too many cut-offs to broadcast")
+    cutoffs = durable(split_cutoffs(rows, strata, id_col, test_share, seed))
+    if cutoffs.limit(max_strata + 1).count() <= max_strata:
+        placed = rows.join(F.broadcast(cutoffs.drop("_rows")), strata, "left")
+    else:
+        placed = attach(rows, cutoffs, strata, "_rows", id_col)
     key = F.struct(order_hash(seed, F.col(id_col)).alias("h"), F.col(id_col).alias("id"))
     in_test = F.coalesce(key <= F.col("_cutoff"), F.lit(False))
     return (
-        rows.join(cutoffs, strata, "left")
+        placed
         .withColumn("split", F.when(in_test, F.lit("test")).otherwise(F.lit("train")))
         .drop("_cutoff")
     )

@@ -84,11 +84,11 @@ def test_split_against_brute_force(spark):
         ids = sorted((i for i, v in enumerate(labels) if v == name), key=order)
         want |= set(ids[: math.ceil(0.4 * len(ids))])
     prints = []
-    for n in (1, 7):
-        out = split.stratified_split(rows.repartition(n), "label", "id", 3)
+    for n, broadcast in ((1, 3), (7, 3), (7, 1)):  # also with more strata than are broadcast
+        out = split.stratified_split(rows.repartition(n), "label", "id", broadcast)
         assert {r.id for r in out.filter("split = 'test'").collect()} == want
         prints.append(split.split_fingerprint(out, "id", "label").first())
-    assert prints[0] == prints[1] and prints[0].train_size + prints[0].test_size == len(labels)
+    assert len(set(prints)) == 1 and prints[0].train_size + prints[0].test_size == len(labels)
     changed = split.stratified_split(rows, "label", "id", 3).withColumn("label", F.lit("z"))
     assert split.split_fingerprint(changed, "id", "label").first().split_sha256 != prints[0].split_sha256
 
@@ -125,6 +125,17 @@ def test_top_incidents_against_brute_force_on_both_paths(spark):
     assert values[5] == 0.0 and abs(values[6] - 1.0) < 1e-12
 
 
+def test_top_incidents_without_memory_and_with_unusable_vectors(spark):
+    _, memory = vectors(spark, 20)
+    queries = spark.createDataFrame(
+        [(1, [0.5] * 8), (2, None), (3, [1.0, 2.0]), (4, [float("nan")] * 8), (5, [])], "query_id bigint, embedding array<float>")
+    odd = memory.limit(2).withColumn("incident_id", F.col("incident_id") + 100).withColumn("embedding", F.lit(None).cast("array<float>"))
+    for limits in ({}, {"broadcast_rows": 5, "block_rows": 7}):
+        for known, matches in ((memory.limit(0), 0), (memory.union(odd), 3)):
+            out = similarity.top_incidents(queries, known, **limits)
+            assert {r.query_id: len(r.similar_incidents) for r in out.collect()} == {1: matches, 2: 0, 3: 0, 4: 0, 5: 0}
+
+
 def test_vote_takes_the_top_action_even_if_it_is_the_minority(spark):
     def hit(i, action, s):
         return (i, "log", "cause", action, s, s >= 0.8)
