@@ -11,14 +11,13 @@ def durable(df: DataFrame) -> DataFrame:
     """Checkpoint a table several later steps read.
 
     The folder is the session's `spark.checkpoint.dir`. Where none is set, a local session
-    gets a temporary one; on a cluster the table is then simply recomputed.
+    gets a temporary one; a cluster has to name a folder that all executors share.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and context.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="siftline-checkpoint-")
-        if not folder:
-            return df
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = folder or tempfile.mkdtemp(prefix="siftline-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
