@@ -58,9 +58,10 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, id_col: str, te
     rows = docs.select(F.col(id_col).cast("long").alias("__rules_doc"), F.col(text_col).alias("__rules_text"))
     rows = rows.filter(F.col("__rules_text").isNotNull())
     rows = rows.join(trusted, F.col("__rules_doc") == F.col("__rules_id"), "left")
+    rows = computed_once(rows, {"__rules_tokens": _hashes(tokens_of(F.col("__rules_text")))})
     grams = rows.select(
         F.col("__rules_id").isNotNull().cast("long").alias("target"),
-        F.explode(buckets_of(_hashes(tokens_of(F.col("__rules_text"))), buckets)).alias("bucket"),
+        F.explode(buckets_of(F.col("__rules_tokens"), buckets)).alias("bucket"),
     )
     counted = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").alias("target"))
     spark = docs.sparkSession
