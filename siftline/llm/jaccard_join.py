@@ -6,8 +6,9 @@ against their bucket's leader become a group with it, in three rounds with three
 matrix holds for every shingle the groups it occurs in, only for the columns that the threshold
 needs: a set's rarest quarter, in one global order. Two groups that meet in a column and whose
 sizes and positions allow the threshold are opened, together with the groups that meet them too:
-a query is first bounded by its overlap with the union of the members' shingles, then compared. Links between
-groups are closed into components. The order only decides how much work there is; every link
+a query is first bounded by its overlap with the union of the members' shingles, then compared.
+The first bound reads bitmaps of the sets and of the unions only, so that few whole sets travel:
+a bit that a query has and a union lacks stands for a shingle outside it. Links between groups are closed into components. The order only decides how much work there is; every link
 between different groups is found.
 """
 
@@ -27,7 +28,7 @@ from siftline.llm.common import coded, gather_ragged, join_uneven, mix64, slices
 
 WORDS = 5
 ROUNDS = 3
-CELL_BITS = 18  # cells of the frequency sketch behind the order of the shingles
+CELL_BITS = 20  # cells of the frequency sketch behind the order of the shingles
 BUCKET_TOKENS = 1_500_000  # matrix entries that one task joins
 CHUNK = 256  # members of a group that are opened at once
 QUERIES = 10_000  # queries that one task compares with a chunk
@@ -65,7 +66,42 @@ def needed(n: np.ndarray | int):
     return (3 * n + 3) // 4
 
 
-_PROFILE = "doc_id long, n_shingles long, sig_a long, sig_b long, key0 long, key1 long, key2 long, cell int, df long"
+def bitmap(tokens: np.ndarray) -> bytes:
+    """One bit for the residue of each token, over a power of two of bits, twice the tokens at least."""
+    width = max(64, 1 << int(2 * len(tokens) - 1).bit_length())
+    bits = np.zeros(width, np.uint8)
+    bits[tokens & np.uint64(width - 1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _folded(bits: np.ndarray, length: int) -> np.ndarray:
+    """The bitmap of the same tokens over `length` bytes, a power of two not above its own."""
+    return bits if len(bits) == length else np.bitwise_or.reduce(bits.reshape(-1, length), axis=0)
+
+
+def union_bitmap(blobs: list[bytes]) -> np.ndarray:
+    """The bitmap of the union, at the width of the narrowest of `blobs`."""
+    length = min(map(len, blobs))
+    union = np.zeros(length, np.uint8)
+    for blob in blobs:
+        union |= _folded(np.frombuffer(blob, np.uint8), length)
+    return union
+
+
+def may_link(n: int, bits: bytes, least: int, most: int, members: int, union: bytes) -> bool:
+    """Whether a set of n may link to one of `members` sets of least to most tokens with that union."""
+    if 4 * most < 3 * n or 4 * n < 3 * least:
+        return False
+    own, other = np.frombuffer(bits, np.uint8), np.frombuffer(union, np.uint8)
+    length = min(len(own), len(other))
+    own, other = _folded(own, length), _folded(other, length)
+    overlap = n - int(np.bitwise_count(own & ~other).sum())
+    if members == 1:
+        overlap = min(overlap, least - int(np.bitwise_count(other & ~own).sum()))
+    return overlap >= needed(n) and 7 * overlap >= 3 * (n + least)
+
+
+_PROFILE = "doc_id long, n_shingles long, sig_a long, sig_b long, key0 long, key1 long, key2 long, bits binary, cell int, df long"
 
 
 def _profile(docs: DataFrame) -> DataFrame:
@@ -88,11 +124,15 @@ def _profile(docs: DataFrame) -> DataFrame:
                     columns[k][filled] = reduce.reduceat(mix64(flat ^ seed), starts).view(np.int64)
             none = pa.nulls(len(sets), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), *map(pa.array, columns), none.cast(pa.int32()), none], names=names
+                [batch.column("doc_id"), pa.array(sizes), *map(pa.array, columns), pa.array(map(bitmap, sets), pa.binary()), none.cast(pa.int32()), none],
+                names=names,
             )
         used = np.flatnonzero(cells)
-        empty = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([empty] * 7 + [pa.array(used.astype(np.int32)), pa.array(cells[used])], names=names)
+        for some in (used[k : k + (1 << 16)] for k in range(0, len(used), 1 << 16)):
+            empty = pa.nulls(len(some), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [empty] * 7 + [pa.nulls(len(some), pa.binary()), pa.array(some.astype(np.int32)), pa.array(cells[some])], names=names
+            )
 
     return docs.mapInArrow(run, _PROFILE)
 
@@ -109,6 +149,26 @@ def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.join(few, docs["doc_id"] == nodes["node"], "left_semi").mapInArrow(run, "node long, tokens binary")
 
 
+def _bits_of(profile: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, bits) for the ids in `nodes`."""
+    few = F.broadcast(nodes) if nodes.count() * 16 <= BROADCAST_BYTES else nodes
+    rows = profile.filter(F.col("bits").isNotNull()).select("doc_id", "bits")
+    return rows.join(few, rows["doc_id"] == nodes["node"], "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.min("bits").alias("bits"))
+
+
+def _promising(pairs: DataFrame, keep: str) -> DataFrame:
+    """The columns `keep` of the rows whose n_shingles and bits pass `may_link` against the rest."""
+    names = keep.replace(",", "").split()[::2]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "bits"):
+            columns = [batch.column(c).to_pylist() for c in ("n_shingles", "bits", "least", "most", "members", "union")]
+            passed = pa.array([may_link(*row) for row in zip(*columns, strict=True)], pa.bool_())
+            yield batch.select(names).filter(passed)
+
+    return pairs.select(*names, "n_shingles", "bits", "least", "most", "members", "union").mapInArrow(run, keep)
+
+
 def _linked(roles: DataFrame) -> DataFrame:
     """(node, grp): the queries and the groups of the members that they link to.
 
@@ -160,7 +220,7 @@ def _member_matrix(members: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, n
     return union, starts, counts, holders[order]
 
 
-def _gathered(docs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+def _gathered(docs: DataFrame, profile: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """One round: (root, grp) for the roots verified against the leader of their bucket by `key`."""
     roots = nodes.filter(F.col("node") == F.col("root")).select("node", "n_shingles", key)
     buckets = roots.groupBy(key).agg(F.count("*").alias("rows"), F.min(F.struct("node", "n_shingles")).alias("leader")).filter("rows > 1")
@@ -168,7 +228,11 @@ def _gathered(docs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     n, m = F.col("n_shingles"), F.col("leader.n_shingles")
     pairs = pairs.filter(F.least(n, m) * 4 >= F.greatest(n, m) * 3)
     parts = F.ceil(F.col("rows") / QUERIES).cast("int")
-    queries = written(pairs.select(F.col("leader.node").alias("grp"), "node", parts.alias("parts")), "jaccard-pairs")
+    pairs = written(pairs.select(F.col("leader.node").alias("grp"), "node", "n_shingles", m.alias("least"), parts.alias("parts")), "jaccard-pairs")
+    bits = written(_bits_of(profile, pairs.select("node").union(pairs.select("grp")).distinct()), "jaccard-bits")
+    both = join_uneven(pairs, bits.select(F.col("node").alias("grp"), F.col("bits").alias("union")), ["grp"]).join(bits, "node")
+    both = both.withColumns({"most": F.col("least"), "members": F.lit(1)})
+    queries = written(_promising(both, "grp long, node long, parts int"), "jaccard-pairs")
     members = queries.select("grp", "parts").distinct()
     sets = written(_sets_of(docs, queries.select("node").union(members.select("grp")).distinct()), "jaccard-sets")
     roles = queries.select("grp", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(1).alias("query"), "node").unionByName(
@@ -200,7 +264,7 @@ def _matrix(docs: DataFrame, nodes: DataFrame, order: np.ndarray, buckets: int)
                 for s, p in zip(sets, place.tolist(), strict=True):
                     if not len(s):
                         continue
-                    weight = frequency[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+                    weight = frequency[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64)
                     head = np.argsort((weight << np.uint64(44)) | (s >> np.uint64(20)), kind="stable")[: len(s) - needed(len(s)) + 1]
                     tokens.append(s[head])
                     places.append(np.full(len(head), p, np.uint16))
@@ -276,22 +340,34 @@ def _meeting(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"g1": pairs[:, 0], "g2": pairs[:, 1]})
 
 
-def _opened(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _unions(rows: pd.DataFrame) -> pd.DataFrame:
+    """The members of one group in one chunk as one row: their sizes' range, their count and their union's bitmap."""
+    sizes = rows["n_shingles"]
+    union = union_bitmap(rows["bits"].tolist()).tobytes()
+    return pd.DataFrame({"grp": rows["root"].iloc[:1], "block": rows["block"].iloc[:1], "chunk": rows["chunk"].iloc[:1], "least": sizes.min(), "most": sizes.max(), "members": len(rows), "union": [union]})
+
+
+def _opened(docs: DataFrame, profile: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(g1, g2): the group pairs between which a member of one links to a member of the other.
 
     Groups that meet often are laid in the same block: a block is named by the smallest group
-    within two steps of meeting, and cut into chunks of members. A query travels once to each
-    chunk with partners of its own, however many they are.
+    within two steps of meeting, and cut into chunks of members. A query that passes the bound
+    against the union of a group's members in a chunk travels there, once for all such groups.
     """
     both = pairs.select("g1", "g2").union(pairs.select("g2", "g1"))
     near = both.groupBy(F.col("g1").alias("root")).agg(F.min("g2").alias("block"))
     near = written(near.select("root", F.least("root", "block").alias("block")), "jaccard-near")
     next_one = both.join(near.select(F.col("root").alias("g2"), "block"), "g2").groupBy(F.col("g1").alias("root")).agg(F.min("block").alias("further"))
     blocks = near.join(next_one, "root").select("root", F.least("block", "further").alias("block"))
-    held = written(nodes.select("node", "root").join(blocks, "root"), "jaccard-held")
+    held = written(nodes.select("node", "root", "n_shingles").join(blocks, "root"), "jaccard-held")
     sizes = held.groupBy("block").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     members = join_uneven(held, sizes, ["block"]).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
-    members = written(members.select("node", "root", "block", "chunk"), "jaccard-members")
+    members = written(members.select("node", "root", "block", "chunk", "n_shingles"), "jaccard-members")
+    bits = written(_bits_of(profile, held.select("node")), "jaccard-bits")
+    unions = members.join(bits, "node").groupBy("root", "chunk").applyInPandas(
+        _unions, "grp long, block long, chunk int, least long, most long, members long, union binary"
+    )
+    unions = written(unions, "jaccard-unions")
     # The smaller group asks, the larger one is opened.
     count = held.groupBy("root").agg(F.count("*").alias("members"))
     left, right = (count.select(F.col("root").alias(g), F.col("members").alias(m)) for g, m in (("g1", "m1"), ("g2", "m2")))
@@ -299,9 +375,11 @@ def _opened(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     asked = pairs.join(left, "g1").join(right, "g2").select(
         F.when(turned, F.col("g2")).otherwise(F.col("g1")).alias("root"), F.when(turned, F.col("g1")).otherwise(F.col("g2")).alias("grp")
     )
-    places = members.select(F.col("root").alias("grp"), "block", "chunk").distinct()
-    targets = written(asked.join(places, "grp").select("root", "block", "chunk").distinct(), "jaccard-targets")
-    queries = written(held.select("node", "root").join(targets, "root"), "jaccard-queries")
+    asking = written(asked.join(held.select("node", "root", "n_shingles"), "root"), "jaccard-asked")
+    asking = asking.join(bits, "node").join(unions, "grp")
+    passed = written(_promising(asking, "node long, root long, grp long, block long, chunk int"), "jaccard-passed")
+    queries = written(passed.select("node", "root", "block", "chunk").distinct(), "jaccard-queries")
+    members = members.join(passed.select(F.col("grp").alias("root"), "chunk").distinct(), ["root", "chunk"])
     salts = written(queries.groupBy("block", "chunk").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("salts")), "jaccard-salts")
     asking = queries.join(salts, ["block", "chunk"]).select(
         "block", "chunk", "salts", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), F.lit(1).alias("query"), "node", F.col("root").alias("grp")
@@ -349,11 +427,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     nodes = written(nodes.withColumn("root", F.col("node")), "jaccard-nodes")
     cells = profile.filter(F.col("cell").isNotNull()).groupBy("cell").agg(F.sum("df").alias("df")).toArrow()  # 2**CELL_BITS rows
-    order = np.zeros(1 << CELL_BITS, np.uint64)
-    order[cells["cell"].to_numpy()] = np.minimum(cells["df"].to_numpy(), (1 << 20) - 1).astype(np.uint64)
+    order = np.zeros(1 << CELL_BITS, np.uint32)
+    order[cells["cell"].to_numpy()] = np.minimum(cells["df"].to_numpy(), (1 << 20) - 1).astype(np.uint32)
 
     for key in keys[:ROUNDS]:
-        links = written(_gathered(docs, nodes, key), "jaccard-links")
+        links = written(_gathered(docs, profile, nodes, key), "jaccard-links")
         if links.limit(1).count():
             nodes = join_uneven(nodes, links, ["root"]).withColumn("root", F.coalesce("grp", "root")).drop("grp")
             nodes = written(nodes, "jaccard-nodes")
@@ -361,7 +439,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = max(1, -(-total // (4 * BUCKET_TOKENS)))
     matrix = _matrix(docs, nodes, order, buckets)
     pairs = written(matrix.groupBy("bucket").applyInPandas(_meeting, "g1 long, g2 long").distinct(), "jaccard-meet")
-    links = written(_opened(docs, nodes, pairs), "jaccard-links")
+    links = written(_opened(docs, profile, nodes, pairs), "jaccard-links")
     labels = components(links)
     nodes = written(join_uneven(nodes, labels, ["root"]).select("node", "sig_a", "sig_b", F.coalesce("label", "root").alias("label")), "jaccard-nodes")
     least = nodes.groupBy("label").agg(F.min("node").alias("component_id"))

@@ -256,6 +256,28 @@ def test_matrix_meeting_is_complete():
         assert sorted(holders[start : start + count].tolist()) == [k for k, s in enumerate((a, b)) if token in s]
 
 
+def test_bitmap_bound_loses_no_link():
+    """A set that links to a member passes the bound against the union; unrelated sets mostly do not."""
+    rnd = np.random.default_rng(11)
+    refused = 0
+    for n in (1, 2, 7, 33, 64, 65, 400, 3000):
+        for _ in range(40):
+            base = rnd.integers(0, 2**63, n).astype(np.uint64)
+            members = []
+            for _ in range(int(rnd.integers(1, 5))):
+                kept = base[: max(1, n - int(rnd.integers(0, n // 5 + 1)))]
+                members.append(np.unique(np.concatenate([kept, rnd.integers(0, 2**63, int(rnd.integers(0, n // 5 + 1))).astype(np.uint64)])))
+            union = jaccard_join.union_bitmap([jaccard_join.bitmap(m) for m in members]).tobytes()
+            sizes = [len(m) for m in members]
+            for query in (np.unique(base), members[0], rnd.integers(0, 2**63, n).astype(np.uint64)):
+                common = [len(np.intersect1d(query, m)) for m in members]
+                links = any(100 * c >= 75 * (len(query) + k - c) for c, k in zip(common, sizes, strict=True))
+                passed = jaccard_join.may_link(len(query), jaccard_join.bitmap(query), min(sizes), max(sizes), len(sizes), union)
+                assert passed or not links
+                refused += not passed
+    assert refused >= 200
+
+
 def test_fingerprints(spark):
     rnd = random.Random(6)
     texts = ["\n".join(" ".join(rnd.choice(["a", "b", "c", "dd", "ee"]) for _ in range(rnd.randint(0, 9))) for _ in range(rnd.randint(0, 30))) for _ in range(80)]
