@@ -1,32 +1,30 @@
-"""Training and batch scoring with MLlib.
-
-Text features are hashed, so no vocabulary travels through the driver; the inverse
-document frequencies are one vector of `num_features` numbers.
-"""
+"""Training and batch scoring with MLlib over the exact feature block."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import hashlib
+import inspect
+import json
+import time
+from dataclasses import asdict, dataclass, field
 
-from pyspark.ml import Model, PipelineModel
+from pyspark.ml import Model
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     LogisticRegression,
     OneVsRest,
     OneVsRestModel,
 )
-from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline import config as cfg
+from siftline.functions.durable import durable
+from siftline.functions.hashing import fingerprint, lane_sums, row_digest
 from siftline.functions.once import computed_once
-from siftline.functions.text import ngrams, word_tokens
-from siftline.operators import evaluation, policy, routing
-
-FEATURES = "features"
+from siftline.operators import evaluation, policy, routing, split
+from siftline.operators.features import FEATURES, FeatureSpace, TextSetting, fit_space
 
 
 @dataclass(frozen=True)
@@ -38,6 +36,15 @@ class Variant:
     use_manual: bool = True
     use_text: bool = True
     params: dict = field(default_factory=dict)
+    text: TextSetting = TextSetting()
+
+    @property
+    def manual(self) -> tuple[str, ...]:
+        return cfg.FEATURE_NAMES if self.use_manual else ()
+
+    @property
+    def setting(self) -> TextSetting | None:
+        return self.text if self.use_text else None
 
 
 # The two families of the model comparison.
@@ -47,44 +54,9 @@ DEFAULT_VARIANTS = (
 )
 
 
-def with_terms(rows: DataFrame, text: str = "message", max_n: int = 1) -> DataFrame:
-    """Add the term array of the text."""
-    tokens = computed_once(rows, {"_tokens": word_tokens(F.col(text))})
-    return tokens.withColumn("terms", ngrams(F.col("_tokens"), max_n)).drop("_tokens")
-
-
-def fit_features(
-    train: DataFrame,
-    *,
-    use_manual: bool = True,
-    use_text: bool = True,
-    num_features: int = 1 << 14,
-) -> PipelineModel:
-    """Transformers for rows with `terms` and the manual features.
-
-    The text part is tf * (ln((1 + n) / (1 + df)) + 1) with unit length; terms whose slot
-    no training row uses weigh nothing.
-    """
-    stages, inputs = [], []
-    if use_manual:
-        inputs += list(cfg.FEATURE_NAMES)
-    if use_text:
-        hashing = HashingTF(inputCol="terms", outputCol="_tf", numFeatures=num_features)
-        fitted = IDF(inputCol="_tf", outputCol="_idf").fit(hashing.transform(train))
-        scale = [w + 1.0 if df > 0 else 0.0 for w, df in zip(fitted.idf.toArray(), fitted.docFreq)]
-        stages += [
-            hashing,
-            ElementwiseProduct(inputCol="_tf", outputCol="_weighted", scalingVec=Vectors.dense(scale)),
-            Normalizer(inputCol="_weighted", outputCol="text_features", p=2.0),
-        ]
-        inputs.append("text_features")
-    stages.append(VectorAssembler(inputCols=inputs, outputCol=FEATURES))
-    return PipelineModel(stages=stages)
-
-
-def vectors(features: PipelineModel, rows: DataFrame) -> DataFrame:
-    """Rows with the assembled feature vector."""
-    return features.transform(rows).drop("_tf", "_weighted", "text_features")
+def variant_vectors(space: FeatureSpace, rows: DataFrame, variant: Variant, cells: DataFrame | None = None) -> DataFrame:
+    """Rows with the feature vector of a variant."""
+    return space.vectors(rows, variant.setting, variant.manual, cells)
 
 
 def build_estimator(variant: Variant, n_train: int, settings: cfg.TrainingSettings):
@@ -138,31 +110,76 @@ def batch_score(model: Model, rows: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class Fitted:
     variant: Variant
-    features: PipelineModel
+    space: FeatureSpace
     model: Model
 
-    def score(self, rows: DataFrame) -> DataFrame:
-        return batch_score(self.model, vectors(self.features, rows))
+    def score(self, rows: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+        return batch_score(self.model, variant_vectors(self.space, rows, self.variant, cells))
 
 
 def fit_variant(
     train: DataFrame,
     variant: Variant,
     settings: cfg.TrainingSettings | None = None,
-    num_features: int = 1 << 14,
+    space: FeatureSpace | None = None,
+    cells: DataFrame | None = None,
 ) -> Fitted:
-    """Fit features and model on training rows with `terms`, manual features and `label`."""
+    """Fit features (unless a fitted space is given) and model on rows with manual features and `label`."""
     settings = settings or cfg.TrainingSettings()
-    features = fit_features(
-        train, use_manual=variant.use_manual, use_text=variant.use_text, num_features=num_features
-    )
-    prepared = vectors(features, train).select(FEATURES, "label").persist()
+    space = space or fit_space(train, (variant.text,))
+    prepared = variant_vectors(space, train, variant, cells).select(FEATURES, "label").persist()
     try:
-        return Fitted(variant, features, build_estimator(variant, prepared.count(), settings).fit(prepared))
+        return Fitted(variant, space, build_estimator(variant, prepared.count(), settings).fit(prepared))
     finally:
         prepared.unpersist()
 
 
+def coefficients(fitted: Fitted) -> DataFrame:
+    """The fitted logistic model as a table: class, feature_index (null: intercept), weight."""
+    matrix, intercepts = fitted.model.coefficientMatrix.toArray(), fitted.model.interceptVector.toArray()
+    rows = [(k, None, float(b)) for k, b in enumerate(intercepts)]
+    rows += [(k, j, float(w)) for k, line in enumerate(matrix) for j, w in enumerate(line)]
+    return F.broadcast(fitted.space.vocab.sparkSession.createDataFrame(rows, "class int, feature_index int, weight double"))
+
+
+def feature_rows(space: FeatureSpace, rows: DataFrame, variant: Variant, *keep: str) -> DataFrame:
+    """Long rows of the feature block: id, `keep`, feature_index, value; zeros are left out."""
+    values = vector_to_array(FEATURES)
+    pairs = variant_vectors(space, rows, variant).select(space.id_col, *keep, F.posexplode(values).alias("feature_index", "value"))
+    return pairs.filter("value <> 0")
+
+
+def score_by_table(table: DataFrame, cells: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
+    """id, probabilities: softmax over classes of the margins, by joins over a coefficient table.
+
+    `cells` are long feature rows, `rows` all ids (a row without features has the intercepts).
+    """
+    weights = table.filter("feature_index IS NOT NULL")
+    intercepts = table.filter("feature_index IS NULL").select("class", F.col("weight").alias("intercept"))
+    parts = cells.join(weights, "feature_index").groupBy(id_col, "class").agg(F.sum(F.col("value") * F.col("weight")).alias("part"))
+    every = rows.select(id_col).join(F.broadcast(intercepts))
+    margins = every.join(parts, [id_col, "class"], "left").withColumn("margin", F.col("intercept") + F.coalesce("part", F.lit(0.0)))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("class", "margin"))), lambda c: c["margin"])
+    grouped = margins.groupBy(id_col).agg(listed.alias("_margins"))
+    shifted = F.transform("_margins", lambda m: F.exp(m - F.array_max("_margins")))
+    total = F.aggregate("_exps", F.lit(0.0), lambda t, e: t + e)
+    return grouped.withColumn("_exps", shifted).select(id_col, F.transform("_exps", lambda e: e / total).alias("probabilities"))
+
+
+def loss_gradient(table: DataFrame, scored: DataFrame, cells: DataFrame, n_train: int, penalty: float, id_col: str) -> DataFrame:
+    """class, feature_index, gradient of the mean log loss plus its penalty at the coefficients.
+
+    `scored` has id, label and probabilities of the training rows. All entries are zero at the optimum, which
+    the convex loss has only one of.
+    """
+    each = scored.select(id_col, "label", F.posexplode("probabilities").alias("class", "p"))
+    error = each.withColumn("error", (F.col("p") - (F.col("label") == F.col("class")).cast("double")) / n_train)
+    slopes = cells.join(error, id_col).groupBy("class", "feature_index").agg(F.sum(F.col("error") * F.col("value")).alias("slope"))
+    weights = table.filter("feature_index IS NOT NULL")
+    joined = weights.join(slopes, ["class", "feature_index"], "left")
+    return joined.select("class", "feature_index", (F.coalesce("slope", F.lit(0.0)) + penalty * F.col("weight")).alias("gradient"))
+
+
 def run_metrics(scored: DataFrame, rules: cfg.DecisionPolicy) -> DataFrame:
     """One row of run metrics from scored test rows with their label."""
     pairs = scored.withColumnsRenamed({"label": "actual", "predicted_label": "predicted"})
@@ -179,34 +196,104 @@ def run_metrics(scored: DataFrame, rules: cfg.DecisionPolicy) -> DataFrame:
     )
 
 
+def _digest(value) -> str:
+    return hashlib.sha256(json.dumps(value, sort_keys=True, default=str).encode()).hexdigest()
+
+
+def data_tags(rows: DataFrame, content: tuple[str, ...]) -> dict[str, str]:
+    """Hashes of the data and of both parts of the split: one aggregate, one row."""
+    parts = split.split_fingerprint(rows, *content).first()
+    digest = rows.select(row_digest(*[F.col(c) for c in content]).alias("_digest"))
+    whole = digest.agg(fingerprint(F.count("*"), lane_sums(F.col("_digest"))).alias("h")).first()["h"]
+    names = ("split_sha256", "train_split_sha256", "test_split_sha256")
+    return {"training_data_sha256": whole, **{name: parts[name] for name in names}}
+
+
 def train_variants(
     rows: DataFrame,
     variants: tuple[Variant, ...] = DEFAULT_VARIANTS,
     group_id: str = "model-family",
     settings: cfg.TrainingSettings | None = None,
     rules: cfg.DecisionPolicy | None = None,
-    num_features: int = 1 << 14,
+    changed_variable: str = "model_family",
+    controlled: tuple[str, ...] = ("raw_data", "train_split", "test_split", "policy", "evaluation_code"),
+    content: tuple[str, ...] = ("message", "label"),
+    started: str = "2026-01-01 00:00:00",
 ) -> tuple[list[Fitted], DataFrame]:
-    """Fit every variant on one shared split and return the models and their run rows.
+    """Fit every variant on one shared split; returns the models and their run rows.
 
-    rows: usable rows with `split`. All runs carry the same comparison group.
+    rows: usable rows with `split`, unique `line_id`, the manual features and `label`. The vocabularies of all text settings
+    are fitted together and every text is turned into vectors once for each setting. A run
+    row has the tags, metrics and params that comparing and selecting runs asks for; its
+    latencies are the scoring time of the test part by decision, in ms, as a batch has no other.
     """
-    rules = rules or cfg.DecisionPolicy()
-    prepared = with_terms(rows)
-    train = prepared.filter("split = 'train'")
-    test = prepared.filter("split = 'test'")
+    settings, rules = settings or cfg.TrainingSettings(), rules or cfg.DecisionPolicy()
+    train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    wanted = tuple(dict.fromkeys(v.text for v in variants if v.use_text)) or (TextSetting(),)
+    space = fit_space(train, wanted)
+    cells = durable(space.text_cells(rows))
+    shared = data_tags(rows, content) | {
+        "policy_sha256": _digest(asdict(rules)),
+        "evaluation_code_sha256": hashlib.sha256(inspect.getsource(evaluation).encode()).hexdigest(),
+        "experiment_config_sha256": _digest([group_id, asdict(settings), [asdict(v) for v in variants]]),
+        "comparison_group_id": group_id,
+        "comparison_type": changed_variable,
+        "changed_variable": changed_variable,
+        "controlled_variables": ",".join(controlled),
+        "experiment_name": group_id,
+        "candidate_status": "not_evaluated",
+        "current_candidate": "false",
+        "promotion_reason": "not_evaluated",
+        "run_owner": "training",
+    }
     fitted, runs = [], None
     for variant in variants:
-        one = fit_variant(train, variant, settings, num_features)
-        row = run_metrics(one.score(test), rules).select(
-            F.lit(f"{group_id}-{variant.name}").alias("run_id"),
-            F.lit(group_id).alias("comparison_group_id"),
-            F.lit(variant.name).alias("variant_name"),
-            F.lit(variant.family).alias("model_family"),
-            F.lit("model_family").alias("comparison_type"),
-            F.lit("model_family").alias("changed_variable"),
-            "*",
-        )
+        one = fit_variant(train, variant, settings, space, cells)
+        began = time.monotonic()
+        scored = durable(one.score(test, cells))
+        elapsed = (time.monotonic() - began) * 1000
+        row = _run_row(scored, variant, shared, rules, settings, elapsed, started)
         fitted.append(one)
         runs = row if runs is None else runs.unionByName(row)
     return fitted, runs
+
+
+def _run_row(
+    scored: DataFrame, variant: Variant, shared: dict[str, str], rules: cfg.DecisionPolicy, settings: cfg.TrainingSettings, elapsed: float, started: str
+) -> DataFrame:
+    manual, text = list(variant.manual), asdict(variant.text) if variant.use_text else None
+    tags = shared | {
+        "variant_name": variant.name,
+        "variant_type": variant.family,
+        "model_family": variant.family,
+        "feature_pipeline_name": "+".join(["manual"] * bool(manual) + ["tfidf"] * variant.use_text),
+        "feature_pipeline_sha256": _digest([manual, text]),
+        "vectorizer_name": "tfidf" if variant.use_text else "none",
+    }
+    params = {f"model_{k}": str(v) for k, v in variant.params.items()} | {
+        "model_family": variant.family,
+        "model_max_iter": str(settings.max_iter),
+        "tfidf_ngram_range": f"[1, {variant.text.max_n}]",
+        "tfidf_max_features": str(variant.text.max_features),
+        **{k: tags[k] for k in ("feature_pipeline_name", "feature_pipeline_sha256", "variant_name", "experiment_config_sha256")},
+    }
+
+    def as_map(values: dict[str, str]) -> Column:
+        return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+
+    latency = F.round(F.try_divide(F.lit(elapsed), F.col("decision_count")), 4)
+    latencies = {f"offline_decision_latency_{name}_ms": latency for name in ("p50", "p95", "max")}
+    found = run_metrics(scored, rules).withColumns(latencies)
+    names = [c for c in found.columns]
+    metrics = F.create_map(*[x for c in names for x in (F.lit(c), F.col(c).cast("double"))])
+    return found.select(
+        F.lit(f"{shared['comparison_group_id']}-{variant.name}").alias("run_id"),
+        F.lit(variant.name).alias("run_name"),
+        F.lit("FINISHED").alias("status"),
+        F.lit(started).alias("start_time"),
+        *[F.lit(v).alias(k) for k, v in tags.items()],
+        *names,
+        as_map(params).alias("params"),
+        as_map(tags).alias("tags"),
+        metrics.alias("metrics"),
+    )

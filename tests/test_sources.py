@@ -76,7 +76,7 @@ def test_models_learn_the_labels(spark):
         *[F.lit(0).alias(f) for f in cfg.FEATURE_NAMES],
     )
     settings = cfg.TrainingSettings(max_iter=50)
-    fitted, table = models.train_variants(rows, settings=settings, num_features=64)
+    fitted, table = models.train_variants(rows, settings=settings)
     out = {r.variant_name: r for r in table.collect()}
     assert len(fitted) == 2 and all(r.combined_accuracy == 1.0 and r.f1_macro == 1.0 for r in out.values())
     assert {r.comparison_group_id for r in out.values()} == {"model-family"} and all(r.decision_count == 48 for r in out.values())
