@@ -87,6 +87,12 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftline.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_language": op2_language,
@@ -100,5 +106,6 @@ QUERIES: dict[str, Query] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_importance": op11_importance,
     "op12_spelling": op12_spelling,
+    "op13_neighbours": op13_neighbours,
 }
 ORACLE: dict[str, str] = {}
