@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from siftline.functions.durable import durable
 from siftline.functions.numeric import ratio
-
-# Resolution of the order-preserving cells used for exact percentiles.
-_CELLS_PER_UNIT = 4_096
-
+from siftline.functions.once import computed_once
+from siftline.operators import lookup
 
 def confusion_matrix(
     pairs: DataFrame, labels: tuple[str, ...], actual: str = "actual", predicted: str = "predicted"
@@ -201,9 +202,32 @@ def slowest_first(samples: DataFrame, latency: str, tie: str) -> DataFrame:
     return samples.orderBy(F.desc(latency), tie)
 
 
-def _cell(value: Column) -> Column:
-    """Monotone integer cell of a number; log1p is monotone on the JVM."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * _CELLS_PER_UNIT)
+def ordered_bits(value: Column) -> Column:
+    """A long that orders as the double does: its 64-bit pattern, turned over for negative numbers.
+
+    Sign, exponent and fraction are taken apart by exact powers of two. Both zeros are one
+    number; infinities lie outside all numbers and NaN lies above.
+    """
+    least = 2.0**-1022
+    whole = F.abs(value)
+    size = F.when((whole >= least) & (whole < float("inf")), whole).otherwise(1.0)
+    rough = F.floor(F.log2(size))
+    # The logarithm may be rounded across a power of two, either way.
+    power = rough - F.when(F.pow(F.lit(2.0), rough) > size, 1).otherwise(0)
+    power = power + F.when(size >= F.pow(F.lit(2.0), power + 1), 1).otherwise(0)
+    scaled = size / F.pow(F.lit(2.0), power) * float(1 << 52)
+    normal = (power + 1022) * F.lit(1 << 52) + scaled.cast("long")
+    infinite = F.lit(2047 << 52).cast("long")
+    # Subnormal numbers are their own pattern, in units of the smallest one, 2**-1074.
+    below = F.when(whole < least, whole).otherwise(0.0)
+    tiny = (below / F.lit(least) * float(1 << 52)).cast("long")
+    pattern = F.when(whole < least, tiny).when(whole < float("inf"), normal).otherwise(infinite)
+    return F.when(F.isnan(value), infinite + 1).when(value < 0, -pattern).otherwise(pattern)
+
+
+_DIGIT_BITS = 16
+# Targets that a pass sends to every task; more of them take the join that splits heavy keys.
+_BROADCAST_TARGETS = 100_000
 
 
 def nearest_rank_percentiles(
@@ -211,51 +235,62 @@ def nearest_rank_percentiles(
     value: str,
     quantiles: dict[str, float],
     by: tuple[str, ...] = (),
+    broadcast_targets: int = _BROADCAST_TARGETS,
 ) -> DataFrame:
-    """Exact nearest-rank percentiles per group as long rows (group, name, value).
+    """Exact nearest-rank percentiles per group as long rows (group, quantile, value).
 
-    Values are first counted, so copies combine map-side. The cumulative count runs over
-    cells of nearby values (a bounded number per group) and then only inside the cell that
-    holds the wanted rank. No group is ever sorted in one task.
+    Radix selection for all groups and quantiles at once: a pass counts rows by the next 16 bits
+    of the ordered pattern, inside the cells that the wanted ranks were found in so far, and
+    steps into one cell for each rank. At most four passes read the samples, fewer if all
+    cells hold one value. A group has at most 65,536 counters in a pass however many rows and values it
+    has, and no value is sorted. Null values are no samples; the passes run when this is called.
     """
     keys = list(by)
-    counted = (
-        samples.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_cell", _cell(F.col("_v")))
-    )
-    cells = counted.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_n"))
-    # One cell row per group and cell: at most a few hundred thousand, usually far fewer.
-    up_to = W.partitionBy(*keys).orderBy("_cell")
-    whole = W.partitionBy(*keys)
-    ranks = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("_name"),
-                F.greatest(F.ceil(F.lit(q) * F.col("_total")), F.lit(1)).cast("bigint").alias("_rank"),
-            )
-            for name, q in quantiles.items()
-        ]
-    )
-    targets = (
-        cells.withColumn("_upto", F.sum("_n").over(up_to))
-        .withColumn("_total", F.sum("_n").over(whole))
-        .select(*keys, "_cell", "_n", "_upto", F.inline(ranks))
-        .filter((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_n")))
-        .select(
-            *keys, "_cell", "_name", (F.col("_rank") - (F.col("_upto") - F.col("_n"))).alias("_left")
+    group = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("")
+    number = F.col(value).cast("double")
+    rows = samples.filter(number.isNotNull()).select(*keys, group.alias("_g"), number.alias("_v"))
+    rows = computed_once(rows, {"_bits": ordered_bits(F.col("_v"))})
+    wanted = F.array(*[F.struct(F.lit(n).alias("quantile"), F.lit(float(q)).alias("_q")) for n, q in quantiles.items()])
+    found = None
+    for shift in range(64 - _DIGIT_BITS, -1, -_DIGIT_BITS):
+        digit = F.shiftright("_bits", shift)
+        if found is None:
+            inside, cell = rows, ["_g"]
+        else:
+            # One row per cell that a rank lies in; its path holds all bits above the digit.
+            paths = found.groupBy("_g", "_path").agg(F.max("_n").alias("_n"))
+            at = F.concat_ws("|", "_g", F.shiftright("_bits", shift + _DIGIT_BITS).cast("string"))
+            dim = paths.select(F.concat_ws("|", "_g", F.col("_path").cast("string")).alias("_at"), "_path", "_n")
+            placed = rows.withColumn("_at", at)
+            if found.count() <= broadcast_targets:
+                inside = placed.join(F.broadcast(dim.drop("_n")), "_at")
+            else:
+                inside = lookup.attach(placed, dim, "_at", "_n", spread="_bits", how="inner")
+            cell = ["_g", "_path"]
+        firsts = [F.first(k).alias(k) for k in keys]
+        counted = inside.groupBy(*cell, digit.alias("_digit")).agg(
+            F.count("*").alias("_n"), F.min("_v").alias("_low"), F.min("_bits").alias("_least"), F.max("_bits").alias("_most"), *firsts
         )
-    )
-    inside = counted.join(targets, [*keys, "_cell"])
-    within = W.partitionBy(*keys, "_name").orderBy("_v")
-    return (
-        inside.withColumn("_upto", F.sum("_n").over(within))
-        .filter(
-            (F.col("_left") <= F.col("_upto")) & (F.col("_left") > F.col("_upto") - F.col("_n"))
-        )
-        .select(*keys, F.col("_name").alias("quantile"), F.col("_v").alias("value"))
-    )
+        upto = F.sum("_n").over(W.partitionBy(*cell).orderBy("_digit"))
+        counted = counted.withColumn("_upto", upto)
+        if found is None:
+            counted = counted.withColumn("_total", F.sum("_n").over(W.partitionBy("_g")))
+            ranked = counted.select("*", F.inline(wanted))
+            ranked = ranked.withColumn("_rank", F.greatest(F.ceil(F.col("_q") * F.col("_total")), F.lit(1)).cast("long"))
+        else:
+            left = found.select("_g", "_path", "quantile", "_rank")
+            if found.count() <= broadcast_targets:
+                left = F.broadcast(left)
+            ranked = counted.join(left, cell)
+        hit = (F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_n"))
+        stepped = ranked.filter(hit).select(
+            *keys, "_g", F.col("_digit").alias("_path"), "quantile", "_n", "_low",
+            (F.col("_least") == F.col("_most")).alias("_single"), (F.col("_rank") - (F.col("_upto") - F.col("_n"))).alias("_rank"),
+        )
+        found = durable(stepped)
+        if not found.filter("NOT _single").limit(1).count():
+            break
+    return found.select(*keys, "quantile", F.col("_low").alias("value"))
 
 
 def latency_summary(
@@ -279,7 +314,10 @@ def latency_summary(
         .pivot("quantile", ["p50_ms", "p95_ms"])
         .agg(F.first("value"))
     )
-    joined = totals.join(ranks, keys, "left")
+    # A null group is a group like any other.
+    own = ranks.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    joined = totals.join(own, same, "left")
     return joined.select(
         *keys,
         "sample_count",

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Rows of the broadcast part. A key outside the `HOT_ROWS` heaviest ones holds less than
-# 1 / HOT_ROWS of the rows, whatever the distribution is.
-HOT_ROWS = 2_000
-_SPREAD = 4_096
+# Rows of one key that stay together. A key with more of them is dealt to several parts.
+TARGET_ROWS = 1_000_000
+# Parts for rows without a key, which match nothing and need not meet.
+_NULL_PARTS = 4_096
+
+
+def salts(weight: Column, target_rows: int = TARGET_ROWS) -> Column:
+    """Number of parts that keeps each part of a key at `target_rows` rows or fewer, as far as hashes are even."""
+    return F.greatest(F.ceil(weight / F.lit(target_rows)), F.lit(1)).cast("int")
 
 
 def attach(
@@ -18,35 +23,30 @@ def attach(
     weight: str,
     spread: str,
     how: str = "left",
-    hot_rows: int = HOT_ROWS,
+    target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
-    """Add the columns of `dim` (unique on `key`) to `rows`.
+    """Add the columns of `dim` to `rows`; a key that `dim` holds twice fails the job.
 
-    The heaviest keys by `weight` travel as a broadcast of at most `hot_rows` rows; all
-    other keys take a shuffle join. Rows that were served by the broadcast are hashed on
-    `spread` instead of their key, so that no task gets all rows of a heavy key.
-    `weight` is a column of `dim` (rows per key); it is not part of the result.
+    `weight` is a column of `dim`, the rows per key; it is not part of the result. A key
+    above `target_rows` is dealt to parts by the hash of `spread`, its row of `dim` is copied to every part,
+    and one exchange of `rows` by key and part serves all keys. The list of such keys,
+    which every task gets, has at most (rows / target_rows) entries.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
     values = [c for c in dim.columns if c not in (key, weight)]
-    packed = dim.filter(F.col(key).isNotNull()).select(
-        F.col(key).cast("string").alias("_key"), F.struct(*values).alias("_dim"), F.col(weight)
+    twice = F.raise_error(F.concat(F.lit(f"{key} occurs twice: "), F.col("_key")))
+    single = (
+        dim.filter(F.col(key).isNotNull())
+        .groupBy(F.col(key).cast("string").alias("_key"))
+        .agg(F.first(F.struct(*values)).alias("_dim"), F.max(weight).alias("_rows"), F.count("*").alias("_n"))
+        .select("_key", "_dim", F.when(F.col("_n") > 1, twice.cast("int")).otherwise(salts(F.col("_rows"), target_rows)).alias("_parts"))
     )
-    hot = packed.orderBy(F.desc(weight), "_key").limit(hot_rows)
-    hot = hot.select(F.col("_key").alias("_hot_key"), F.col("_dim").alias("_hot_dim"))
-    cold = packed.select(F.concat(F.lit("k"), "_key").alias("_join_key"), F.col("_dim"))
+    heavy = single.filter("_parts > 1").select(F.col("_key").alias("_heavy"), F.col("_parts").alias("_heavy_parts"))
+    parted = single.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
 
     key_text = F.col(key).cast("string")
-    served = F.col("_hot_key").isNotNull() | F.col(key).isNull()
-    detour = F.concat(F.lit("s"), F.pmod(F.xxhash64(spread), F.lit(_SPREAD)).cast("string"))
-
-    joined = (
-        rows.join(F.broadcast(hot), key_text == F.col("_hot_key"), "left")
-        .withColumn("_join_key", F.when(served, detour).otherwise(F.concat(F.lit("k"), key_text)))
-        .join(cold, "_join_key", "left")
-        .withColumn("_found", F.coalesce("_hot_dim", "_dim"))
-    )
-    if how == "inner":
-        joined = joined.filter(F.col("_found").isNotNull())
-    return joined.selectExpr(*[f"`{c}`" for c in rows.columns], *[f"_found.`{c}` AS `{c}`" for c in values])
+    parts = F.when(key_text.isNull(), _NULL_PARTS).otherwise(F.coalesce("_heavy_parts", F.lit(1)))
+    keyed = rows.join(F.broadcast(heavy), key_text == F.col("_heavy"), "left")
+    joined = keyed.withColumn("_part", F.pmod(F.xxhash64(spread), parts).cast("int")).withColumn("_key", key_text).join(parted, ["_key", "_part"], how)
+    return joined.selectExpr(*[f"`{c}`" for c in rows.columns], *[f"_dim.`{c}` AS `{c}`" for c in values])

@@ -10,9 +10,6 @@ from siftline.functions.once import computed_once
 from siftline.functions.text import ngrams, word_tokens
 from siftline.operators import lookup
 
-# Heaviest terms that travel as a broadcast. By Zipf's law they are most of the rows.
-HOT_TERMS = 20_000
-
 
 def tokenize(docs: DataFrame, doc: str, text: str, max_n: int = 1) -> DataFrame:
     """One row per token (or n-gram) occurrence: doc, term."""
@@ -50,14 +47,14 @@ def document_count(docs: DataFrame) -> DataFrame:
 
 
 def weigh(
-    counts: DataFrame, vocab: DataFrame, doc: str, hot_terms: int = HOT_TERMS
+    counts: DataFrame, vocab: DataFrame, doc: str, target_rows: int = lookup.TARGET_ROWS
 ) -> DataFrame:
     """doc, term, tf, weight; terms outside the vocabulary vanish, every row has norm 1.
 
     Common words are a large share of the rows, so idf is attached with the heavy-key join.
     """
     dim = vocab.select("term", "df", "idf")
-    rows = lookup.attach(counts, dim, "term", "df", spread=doc, how="inner", hot_rows=hot_terms)
+    rows = lookup.attach(counts, dim, "term", "df", spread=doc, how="inner", target_rows=target_rows)
     raw = rows.withColumn("_w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(doc)))
     return raw.select(doc, "term", "tf", (F.col("_w") / norm).alias("weight"))

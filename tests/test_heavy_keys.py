@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from siftline import config as cfg
@@ -24,14 +25,34 @@ def test_attach_heavy_light_and_absent_keys(spark):
         F.count("*").alias("n"), F.max(F.length("key")).alias("size"), F.first(F.lit(None).cast("string")).alias("nothing")
     )
     want = {r.id: (len(r.key) if r.key and r.key != "k7" else None) for r in rows.collect()}
-    for hot in (1, 5, 2000):
-        out = lookup.attach(rows, dim, "key", "n", spread="id", hot_rows=hot)
+    for most in (7, 100, 10**6):
+        out = lookup.attach(rows, dim, "key", "n", spread="id", target_rows=most)
         assert out.columns == ["id", "key", "size", "nothing"]
         assert {r.id: r.size for r in out.collect()} == want
-        inner = lookup.attach(rows, dim, "key", "n", spread="id", how="inner", hot_rows=hot)
+        inner = lookup.attach(rows, dim, "key", "n", spread="id", how="inner", target_rows=most)
         assert {r.id for r in inner.collect()} == {k for k, v in want.items() if v is not None}
 
 
+def test_attach_deals_every_key_to_small_parts(spark):
+    """A third of the rows under one key, many under a few, a long tail, and a share without a key."""
+    kind = F.when(F.col("id") % 3 == 0, "third").when(F.col("id") % 10 == 1, F.concat(F.lit("some"), (F.col("id") % 7).cast("string")))
+    rows = spark.range(30_000).select("id", kind.when(F.col("id") % 10 == 2, None).otherwise(F.col("id").cast("string")).alias("key"))
+    dim = rows.filter("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    parts = dim.select("key", "n", lookup.salts(F.col("n"), 50).alias("parts")).filter("parts > 1").collect()
+    assert {r.key for r in parts} == {"third", *[f"some{k}" for k in range(7)]} and len(parts) <= 30_000 / 50
+    assert all(r.n / r.parts <= 50 for r in parts)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = lookup.attach(rows, dim, "key", "n", spread="id", target_rows=50)
+        placed = out.groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in placed) == 30_000
+        assert out.filter("key IS NULL AND least IS NOT NULL OR key IS NOT NULL AND least IS NULL").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    with pytest.raises(Exception, match="occurs twice: third"):
+        lookup.attach(rows, dim.unionByName(dim.filter("key = 'third'")), "key", "n", spread="id").collect()
+
+
 DOCS = [
     (0, "The cat sat on the mat, the end"),
     (1, "the dog_1 sat; Größe 42 a b"),
@@ -58,10 +79,10 @@ def test_tfidf_against_brute_force(spark):
     docs = spark.createDataFrame(DOCS, "doc bigint, text string")
     train, test = docs.filter("doc < 3"), docs.filter("doc >= 3")
     want = brute_tfidf(DOCS[3:], DOCS[:3])
-    for hot in (1, 100):
+    for most in (1, 100):
         counts = tfidf.term_counts(train, "doc", "text")
         vocab = tfidf.vocabulary(counts, tfidf.document_count(train))
-        rows = tfidf.weigh(tfidf.term_counts(test, "doc", "text"), vocab, "doc", hot_terms=hot).collect()
+        rows = tfidf.weigh(tfidf.term_counts(test, "doc", "text"), vocab, "doc", target_rows=most).collect()
         assert {(r.doc, r.term) for r in rows} == set(want)
         assert all(abs(r.weight - want[r.doc, r.term]) < 1e-12 for r in rows)
     top = tfidf.vocabulary(tfidf.term_counts(docs, "doc", "text"), tfidf.document_count(docs), 2)
