@@ -41,6 +41,57 @@ def test_files_to_trace_table_and_back(spark, tmp_path):
         traces.append_traces(decided.withColumn("trace", F.when(F.col("status") == "ok", F.col("trace"))), path)
 
 
+def ids(frame):
+    return sorted((r.raw_log, r.line_id) for r in frame.collect())
+
+
+def test_line_ids_do_not_depend_on_the_read(spark, tmp_path):
+    """Equal lines differ, two reads agree, and so do reads in splits of a few bytes."""
+    for name, n in (("a.txt", 40), ("b.txt", 7)):
+        (tmp_path / name).write_text("\n".join([*LINES, "same line here again"] * n) + "\n", encoding="utf-8")
+    whole = ids(logs.read_log_lines(spark, str(tmp_path)))
+    assert len(whole) == len({i for _, i in whole}) == 47 * 4
+    places = {i.rsplit("/", 1)[1] for text, i in whole if text == "same line here again"}
+    assert places == {f"{name}:{5 * k}" for name, n in (("a.txt", 40), ("b.txt", 7)) for k in range(1, n + 1)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("97b", "1000b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            cut = logs.read_log_lines(spark, str(tmp_path))
+            assert ids(cut) == whole
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_appends_and_replays_leave_each_decision_once(spark, tmp_path):
+    source, path = tmp_path / "in", str(tmp_path / "traces")
+    source.mkdir()
+    (source / "a.txt").write_text("\n".join([LINES[0], LINES[0], "  broken line ", LINES[0]]), encoding="utf-8")
+
+    def decided(day):
+        return plans.decide_and_trace(logs.read_log_lines(spark, str(source)), MODEL, RULES, manifest(spark), created_at=F.lit(f"2026-01-0{day}T00:00:00Z"))
+
+    for day in (1, 2):  # the job again, a day later
+        traces.append_traces(decided(day), path)
+    assert traces.read_traces(spark, path).count() == 4
+    traces.append_traces(decided(3).filter("status = 'error'"), path, batch="some of them")
+    stored = traces.read_traces(spark, path)
+    assert stored.count() == 5 and traces.once_each(stored).count() == 4
+    wanted = {r.decision_id: r.created_at for r in traces.once_each(stored).collect()}
+    for decision in wanted:
+        assert [r.created_at for r in traces.read_decision(spark, path, decision).collect()] == [wanted[decision]]
+    # The stream has the ids of the batch job; a micro-batch that comes again replaces itself.
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    placed = logs.stream_placed_lines(spark, str(source))
+    streaming.start_decisions(placed, MODEL, RULES, manifest(spark), out, state, available_now=True).awaitTermination(120)
+    replayed = logs.with_place(spark.read.text(str(source)))
+    streaming.decide_batch(replayed, 0, MODEL, RULES, manifest(spark), out)
+    (source / "b.txt").write_text(LINES[0], encoding="utf-8")
+    streaming.start_decisions(placed, MODEL, RULES, manifest(spark), out, state, available_now=True).awaitTermination(120)
+    got = [r.decision_id for r in traces.read_traces(spark, out).collect()]
+    assert len(got) == len(set(got)) == 5 and set(wanted) < set(got)
+
+
 def test_stream_gives_the_batch_decisions(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
