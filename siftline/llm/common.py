@@ -8,6 +8,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -117,7 +118,7 @@ def gather_ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
 
 
 class RunCache:
-    """Runs of numbers by string, computed in bulk for strings not seen before.
+    """Runs of numbers by string, computed in bulk for strings not seen before; no string twice in a call.
 
     `limit` strings are kept at most; past it the cache starts anew, so its memory is bounded
     and results do not depend on it.
@@ -135,14 +136,16 @@ class RunCache:
         """Flat numbers, and each word's start and length in them."""
         if len(self.place) > self.limit:
             self.clear()
-        new = [w for w in words if w not in self.place]
-        if new:
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            new = [words[i] for i in unknown]
             flat, lengths = self.compute(new)
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+            at[unknown] = np.arange(len(self.place), len(self.place) + len(new))
+            self.place.update(zip(new, at[unknown].tolist(), strict=True))
             self.flat = np.concatenate([self.flat, flat])
             self.lengths = np.concatenate([self.lengths, lengths])
         starts = np.cumsum(self.lengths) - self.lengths
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         return self.flat, starts[at], self.lengths[at]
 
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import RunCache, coded, gather_ragged, slices
+from siftline.llm.common import RunCache, gather_ragged, slices
 
 WINDOW = 2048
 GROUP_DOCS = 8192
@@ -76,6 +76,15 @@ def best_fit_decreasing(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.n
     return numbers, offsets
 
 
+_WHITE = r"[\x09-\x0d\x1c-\x20\x{85}\pZ]"
+_ODD_HEAD = rf"^\z|{_WHITE}\z"
+_ODD_PART = rf"{_ODD_HEAD}|^{_WHITE}"
+
+
+def _matching(texts: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)
+
+
 class Encoder:
     """Token ids of many texts, exactly as the tokenizer gives them for each whole text.
 
@@ -96,7 +105,7 @@ class Encoder:
         self.parts = RunCache(self._encode_parts)
 
     def whole(self, text: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
 
     def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         flat, lengths = [], []
@@ -119,8 +128,10 @@ class Encoder:
         parts = lists.flatten()
         bounds = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         bounds = bounds - bounds[0]
-        codes, words = coded(parts)
-        odd = np.fromiter((not w or w[0].isspace() or w[-1].isspace() for w in words), bool, len(words))
+        found = parts.dictionary_encode()
+        codes, distinct = found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
+        words = distinct.to_pylist()
+        odd = _matching(distinct, _ODD_PART)
         is_first = np.zeros(len(codes), bool)
         is_first[bounds[:-1]] = True
         rest = np.zeros(len(words), bool)
@@ -133,7 +144,7 @@ class Encoder:
         n_docs = len(texts)
         odd_parts = np.add.reduceat((odd[codes] & ~is_first).astype(np.int64), bounds[:-1]) if n_docs else np.zeros(0)
         single = np.diff(bounds) == 1
-        first_odd = np.fromiter((not w or w[-1].isspace() for w in words), bool, len(words))[codes[bounds[:-1]]]
+        first_odd = _matching(distinct.take(pa.array(codes[bounds[:-1]])), _ODD_HEAD)
         direct = (odd_parts > 0) | (first_odd & ~single)
         heads = [
             self.whole(texts[d].as_py()) if direct[d] else self.whole(words[codes[bounds[d]]])
