@@ -137,7 +137,7 @@ def test_top_incidents_against_brute_force_on_both_paths(spark):
     for q in range(len(data)):
         ranked = sorted(((round(cos(data[q], data[m]), 4), m) for m in range(len(data)) if m != q), key=lambda x: (-x[0], x[1]))
         want[q] = [(m, s) for s, m in ranked[:3]]
-    for limits in ({}, {"broadcast_rows": 10, "block_rows": 13}):
+    for limits in ({}, {"block_rows": 13}, {"block_rows": 1}):
         out = similarity.top_incidents(queries, memory, threshold=0.5, exclude_same_id=True, **limits)
         got = {r.query_id: [(m.incident_id, m.similarity) for m in r.similar_incidents] for r in out.collect()}
         assert got == want
@@ -151,7 +151,7 @@ def test_top_incidents_without_memory_and_with_unusable_vectors(spark):
     queries = spark.createDataFrame(
         [(1, [0.5] * 8), (2, None), (3, [1.0, 2.0]), (4, [float("nan")] * 8), (5, [])], "query_id bigint, embedding array<float>")
     odd = memory.limit(2).withColumn("incident_id", F.col("incident_id") + 100).withColumn("embedding", F.lit(None).cast("array<float>"))
-    for limits in ({}, {"broadcast_rows": 5, "block_rows": 7}):
+    for limits in ({}, {"block_rows": 7}):
         for known, matches in ((memory.limit(0), 0), (memory.union(odd), 3)):
             out = similarity.top_incidents(queries, known, **limits)
             assert {r.query_id: len(r.similar_incidents) for r in out.collect()} == {1: matches, 2: 0, 3: 0, 4: 0, 5: 0}
