@@ -19,7 +19,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -162,13 +161,16 @@ def _descend(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def _ascend(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The best of all rows of the sorted segment whose strings share each query's prefix."""
+    """The best of all rows of the sorted segment whose strings share each query's prefix.
+
+    Rows below the k-th score of the way down cannot be among the k nearest and are left out.
+    """
     if not len(rows) or not len(queries):
         return _empty()
     rows = rows.sort_values(["string", "vec_id"], ignore_index=True)
     queries = queries.sort_values(["first", "last", "query_id"], ignore_index=True)
     qv, mv = _vectors(queries), _vectors(rows)
-    strings = rows["string"].to_numpy()
+    strings, least = rows["string"].to_numpy(), queries["kth"].fillna(-np.inf).to_numpy()
     low = np.searchsorted(strings, queries["first"].to_numpy())
     high = np.searchsorted(strings, queries["last"].to_numpy(), side="right")
     # Queries with the same prefix look at the same rows: one matrix product for each run of them.
@@ -187,8 +189,10 @@ def _ascend(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
                 wanted = products >= edge - 1e-9 * np.maximum(1.0, np.abs(edge))
             else:
                 wanted = np.ones_like(products, bool)
+            wanted &= products >= (least[asked] - 1e-9 * np.maximum(1.0, np.abs(np.maximum(least[asked], -1e300))))[:, None]
             query, row = np.nonzero(wanted)
-            found.append(_best(asked[query], a + row, products[query, row], queries, rows, qv, mv, k))
+            if len(query):
+                found.append(_best(asked[query], a + row, products[query, row], queries, rows, qv, mv, k))
     return pd.concat(found, ignore_index=True) if found else _empty()
 
 
@@ -303,7 +307,7 @@ class Forest:
         size = F.sqrt(_squares("vector"))
         levelled = bounded.withColumn("level", level("kth", size))
         # At level 0 the first tree alone holds every row.
-        opened = levelled.select("query_id", "vector", "level", F.posexplode("strings").alias("tree", "string")).filter("level > 0 OR tree = 0")
+        opened = levelled.select("query_id", "vector", "kth", "level", F.posexplode("strings").alias("tree", "string")).filter("level > 0 OR tree = 0")
         # The strings with the same first `level` digits, whatever follows.
         free = F.expr(f"IF(level = 0, {(1 << 63) - 1}L, shiftleft(1L, {TIE_BITS + DIGITS * DIGIT_BITS} - {DIGIT_BITS} * level) - 1)")
         spans = opened.withColumn("first", F.col("string").bitwiseAND(F.bitwise_not(free))).withColumn("last", F.col("first") + free)
