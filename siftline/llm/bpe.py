@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,10 @@ from pyspark.sql import functions as F
 
 from siftline.llm.common import RunCache, coded, gather_ragged, slices, split_words
 
-_NONE = 1 << 30
+# A merge as one number: its rank above the symbol it makes, so numbers order as ranks do.
+_SYMBOL_BITS = 20
+_SYMBOL = (1 << _SYMBOL_BITS) - 1
+_NONE = 1 << 60
 
 
 def byte_symbols() -> list[str]:
@@ -31,33 +35,36 @@ def byte_symbols() -> list[str]:
     return [chr(256 + hidden.index(b)) if b in hidden else chr(b) for b in range(256)]
 
 
-def merge_symbols(ids: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+def merge_table(merges: list[tuple[int, int, int]]) -> dict[int, int]:
+    """(left << _SYMBOL_BITS | right) to (rank << _SYMBOL_BITS | made) for (left, right, made) in order of rank."""
+    return {left << _SYMBOL_BITS | right: rank << _SYMBOL_BITS | made for rank, (left, right, made) in enumerate(merges)}
+
+
+def merge_symbols(ids: list[int], merges: dict[int, int]) -> list[int]:
     """Apply the lowest-ranked, leftmost merge until none is left."""
     n = len(ids)
     if n < 2:
         return ids
+    pairs = [merges.get(a << _SYMBOL_BITS | b, _NONE) for a, b in zip(ids, ids[1:])]
     if n == 2:
-        found = merges.get((ids[0], ids[1]))
-        return [found[1]] if found else ids
+        return [pairs[0] & _SYMBOL] if pairs[0] != _NONE else ids
     leaves = 1 << (n - 2).bit_length()
-    tree = [_NONE] * (2 * leaves)
-    for i in range(n - 1):
-        found = merges.get((ids[i], ids[i + 1]))
-        if found:
-            tree[leaves + i] = found[0]
+    tree = [_NONE] * leaves + pairs + [_NONE] * (leaves - n + 1)
     for node in range(leaves - 1, 0, -1):
         left, right = tree[2 * node], tree[2 * node + 1]
         tree[node] = left if left <= right else right
     ids, following, previous = list(ids), list(range(1, n + 1)), list(range(-1, n - 1))
 
-    def put(at: int, rank: int) -> None:
-        node = leaves + at
-        tree[node] = rank
-        node >>= 1
-        while node:
-            left, right = tree[2 * node], tree[2 * node + 1]
-            tree[node] = left if left <= right else right
+    def put(node: int, low: int) -> None:
+        """Set a leaf; the way up ends at the first parent that keeps its value."""
+        while tree[node] != low:
+            tree[node] = low
+            other = tree[node ^ 1]
+            if other < low:
+                low = other
             node >>= 1
+            if not node:
+                break
 
     while tree[1] != _NONE:
         node, low = 1, tree[1]
@@ -66,22 +73,18 @@ def merge_symbols(ids: list[int], merges: dict[tuple[int, int], tuple[int, int]]
             if tree[node] != low:
                 node += 1
         at = node - leaves
+        made = ids[at] = low & _SYMBOL
         gone = following[at]
-        ids[at] = merges[ids[at], ids[gone]][1]
-        after = following[gone]
-        following[at] = after
-        if gone < leaves and tree[leaves + gone] != _NONE:
-            put(gone, _NONE)
+        after = following[at] = following[gone]
         if after < n:
+            put(leaves + gone, _NONE)
             previous[after] = at
-            found = merges.get((ids[at], ids[after]))
-            put(at, found[0] if found else _NONE)
+            put(node, merges.get(made << _SYMBOL_BITS | ids[after], _NONE))
         else:
-            put(at, _NONE)
+            put(node, _NONE)
         before = previous[at]
         if before >= 0:
-            found = merges.get((ids[before], ids[at]))
-            put(before, found[0] if found else _NONE)
+            put(leaves + before, merges.get(ids[before] << _SYMBOL_BITS | made, _NONE))
     out, at = [], 0
     while at < n:
         out.append(ids[at])
@@ -99,9 +102,7 @@ class WordTokenizer:
         self.end = model["end_of_word_suffix"] or ""
         vocab = model["vocab"]
         self.vocab = vocab
-        self.merges = {}
-        for rank, (left, right) in enumerate(model["merges"]):
-            self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
+        self.merges = merge_table([(vocab[left], vocab[right], vocab[left + right]) for left, right in model["merges"]])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {number: token for token, number in vocab.items()} | {v: k for k, v in self.special.items()}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -126,6 +127,9 @@ class WordTokenizer:
         text = unicodedata.normalize("NFC", text)
         # A final sigma depends on its neighbours in Python's lower(), not in the tokenizer's.
         text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+        # The pattern takes letters as one piece.
+        if text.isalpha():
+            return self._piece(text)
         return [i for piece in self.pattern.findall(text) for i in self._piece(piece)]
 
     def encode(self, text: str) -> list[int]:
@@ -156,7 +160,7 @@ def bpe_encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
         def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             runs = [tokenizer.encode(w) for w in words]
             lengths = np.array([len(r) for r in runs], np.int64)
-            return np.fromiter((i for r in runs for i in r), np.int64, int(lengths.sum())), lengths
+            return np.fromiter(chain.from_iterable(runs), np.int64, int(lengths.sum())), lengths
 
         cache = RunCache(encode_words)
         names = pa.array([tokenizer.tokens.get(i, "") for i in range(max(tokenizer.tokens) + 1)])
