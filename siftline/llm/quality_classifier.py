@@ -2,8 +2,8 @@
 
 A text is read as words and runs of symbols. Single ones and neighbouring pairs are hashed into
 a fixed number of slots; a text's score is the sigmoid of the sum of its slots' weights over
-the root of their count. Training uses a bounded sample of labelled documents, in shards whose
-weights are averaged; no label, language, source or id enters a score.
+the root of their count. Training uses a bounded sample of labelled documents; no label, language,
+source or id enters a score.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -23,9 +22,8 @@ from siftline.llm.common import coded, held_out, mix64, slices, split_words
 SLOT_BITS = 18
 # Labelled documents that training reads at most, taken in the order of their hashed ids.
 MAX_LABELLED = 16_384
-TRAIN_SHARDS = 4
 EPOCHS = 5
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.1
 THRESHOLD = 0.3
 _PAIR, _TWICE, _CAPITALS = np.uint64(0x9E3779B97F4A7C15), np.uint64(11), np.uint64(13)
 
@@ -68,24 +66,34 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
-def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], n_slots: int, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights of the slots, the bias last, after `epochs` passes in the given order.
+class Ftrl:
+    """Follow-the-regularised-leader state of a logistic regression; the bias is the last slot.
 
-    Both classes weigh the same in sum, so that the rarer one is not scored by its rarity.
+    `share` is what an example of each class counts, so that both weigh the same in sum and the
+    rarer one is not scored by its rarity.
     """
-    ones = sum(labels)
-    share = {1: len(labels) / 2 / max(1, ones), 0: len(labels) / 2 / max(1, len(labels) - ones)}
-    z, n, w = np.zeros(n_slots + 1), np.zeros(n_slots + 1), np.zeros(n_slots + 1)
-    for _ in range(epochs):
-        for (slots, values), label in zip(rows, labels, strict=True):
-            zs, ns = z[slots], n[slots]
-            ws = np.where(np.abs(zs) <= L1, 0.0, -(zs - np.sign(zs) * L1) / ((BETA + np.sqrt(ns)) / ALPHA + L2))
-            gradient = share[label] * (sigmoid(ws @ values) - label) * values
-            grown = ns + gradient * gradient
-            z[slots] = zs + gradient - (np.sqrt(grown) - np.sqrt(ns)) / ALPHA * ws
-            n[slots] = grown
-    w = np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
-    return w
+
+    def __init__(self, n_slots: int, rows: int, ones: int):
+        self.z, self.n = np.zeros(n_slots + 1), np.zeros(n_slots + 1)
+        self.share = (rows / 2 / max(1, rows - ones), rows / 2 / max(1, ones))
+
+    def weights(self, slots: np.ndarray | slice = slice(None)) -> np.ndarray:
+        z, n = self.z[slots], self.n[slots]
+        return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+
+    def learn(self, slots: np.ndarray, values: np.ndarray, label: int) -> None:
+        """One example; no slot may occur twice."""
+        w, n = self.weights(slots), self.n[slots]
+        gradient = self.share[label] * (sigmoid(w @ values) - label) * values
+        grown = n + gradient * gradient
+        self.z[slots] += gradient - (np.sqrt(grown) - np.sqrt(n)) / ALPHA * w
+        self.n[slots] = grown
+
+
+def example(slots: np.ndarray, n_slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct slots of a text and their values, the bias slot last."""
+    distinct, counts = np.unique(slots, return_counts=True)
+    return np.append(distinct, n_slots), np.append(counts / np.sqrt(max(1, counts.sum())), 1.0)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int, id_col: str, text_col: str) -> DataFrame:
@@ -106,37 +114,41 @@ def fit(
     labels: DataFrame,
     slot_bits: int = SLOT_BITS,
     max_labelled: int = MAX_LABELLED,
-    shards: int = TRAIN_SHARDS,
+    epochs: int = EPOCHS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> np.ndarray:
-    """Slot weights and bias: float64 of 2**slot_bits + 1. Without labelled rows all are zero."""
+    """Slot weights and bias: float64 of 2**slot_bits + 1. Without labelled rows all are zero.
+
+    The sample has a documented bound and is learned by one model, in the order of hashed ids. Every epoch
+    is a copy of the sample; Spark sorts the copies and the one task that learns reads them as a
+    stream, so its memory does not depend on how long the texts are.
+    """
     n_slots = 1 << slot_bits
+    sample = labelled_sample(docs, labels, max_labelled, id_col, text_col)
+    rows, ones = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not rows:
+        return np.zeros(n_slots + 1)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             slots, bounds = features(batch.column("text"), slot_bits)
-            listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(slots, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), listed], names=["doc_id", "label", "slots"])
-
-    def train(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["order", "doc_id"])
-        examples = []
-        for slots in rows["slots"]:
-            distinct, counts = np.unique(np.asarray(slots, np.int64), return_counts=True)
-            values = np.append(counts / np.sqrt(max(1, counts.sum())), 1.0)
-            examples.append((np.append(distinct, n_slots), values))
-        weights = train_ftrl(examples, rows["label"].tolist(), n_slots)
-        return pd.DataFrame({"weights": [weights.astype(np.float32)], "rows": [len(rows)]})
-
-    sample = labelled_sample(docs, labels, max_labelled, id_col, text_col)
-    featured = sample.mapInArrow(featurise, "doc_id long, label int, slots array<int>")
-    order = F.xxhash64(F.lit(7), "doc_id")
-    dealt = featured.withColumn("order", order).withColumn("shard", F.pmod("order", F.lit(shards)))
-    fitted = dealt.groupBy("shard").applyInPandas(train, "weights array<float>, rows long").collect()  # `shards` rows
-    if not fitted:
-        return np.zeros(n_slots + 1)
-    return np.average([np.asarray(r.weights) for r in fitted], axis=0, weights=[r.rows for r in fitted])
+            made = [example(slots[a:b], n_slots) for a, b in zip(bounds[:-1], bounds[1:])]
+            listed = [pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *listed], names=["doc_id", "label", "slots", "shares"])
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Ftrl(n_slots, rows, ones)
+        for batch in batches:
+            slots, shares, marks = batch.column("slots"), batch.column("shares"), batch.column("label").to_pylist()
+            for at, label in enumerate(marks):
+                model.learn(slots[at].values.to_numpy(), shares[at].values.to_numpy().astype(np.float64), label)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype(np.float32)], pa.list_(pa.float32()))], names=["weights"])
+
+    featured = sample.mapInArrow(featurise, "doc_id long, label int, slots array<int>, shares array<float>")
+    copies = featured.withColumn("order", F.xxhash64(F.lit(7), "doc_id")).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
+    ordered = copies.repartition(1).sortWithinPartitions("epoch", "order", "doc_id", "label").select("label", "slots", "shares")
+    return np.asarray(ordered.mapInArrow(train, "weights array<float>").first()[0], np.float64)
 
 
 def score_documents(

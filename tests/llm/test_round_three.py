@@ -1,4 +1,4 @@
-"""Importance resampling, spelling variants and nearest neighbours against brute force."""
+"""Importance resampling, spelling variants, nearest neighbours and the classifier against plain versions."""
 
 from __future__ import annotations
 
@@ -10,11 +10,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.llm import byte_runs, importance, neighbours, spelling
-from siftline.llm.common import written
+from siftline.llm import byte_runs, importance, neighbours, quality_classifier, spelling
+from siftline.llm.common import held_out, written
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, rank string, n long, word string, score string, vector string"
@@ -267,3 +268,53 @@ def test_empty_tables(spark):
     assert neighbours.nearest(vectors_table(spark, [(0, [1.0])])).collect() == []
     alone = importance.resample(table(spark, ["only " * 30]), docs, percent=100).collect()
     assert [(r.doc_id, r.rank) for r in alone] == [(0, 1)]
+
+
+def plain_ftrl(examples, n_slots, epochs):
+    """Textbook follow-the-regularised-leader over dicts, one coordinate at a time."""
+    z, n = defaultdict(float), defaultdict(float)
+    a, b, l1, l2 = quality_classifier.ALPHA, quality_classifier.BETA, quality_classifier.L1, quality_classifier.L2
+    ones = sum(label for _, label in examples)
+    share = {1: len(examples) / 2 / ones, 0: len(examples) / 2 / (len(examples) - ones)}
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((b + math.sqrt(n[i])) / a + l2)
+
+    for _ in range(epochs):
+        for values, label in examples:
+            w = {i: weight(i) for i in values}
+            p = 1 / (1 + math.exp(-max(-35, min(35, sum(w[i] * v for i, v in values.items())))))
+            for i, v in values.items():
+                g = share[label] * (p - label) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / a * w[i]
+                n[i] += g * g
+    return [weight(i) for i in range(n_slots + 1)]
+
+
+def test_classifier_weights_equal_a_plain_version(spark):
+    rnd = random.Random(12)
+    texts = [" ".join(rnd.choice(["sea", "calm", "calm calm", "ROW", "x!!", "boat"]) for _ in range(rnd.randint(0, 9))) for _ in range(80)]
+    docs = table(spark, [*texts, None])
+    labels = spark.createDataFrame([(i, (i * 7) % 3 % 2) for i in range(81)], "doc_id long, quality int")
+    got = quality_classifier.fit(docs, labels, slot_bits=9, max_labelled=50, epochs=3)
+    # The bounded sample and its order come from hashed ids.
+    ids = labels.filter(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(50).withColumn("o", F.xxhash64(F.lit(7), "doc_id"))
+    examples = []
+    for r in ids.orderBy("o", "doc_id").collect():
+        slots, bounds = quality_classifier.features(pa.array([texts[r.doc_id] if r.doc_id < 80 else None]), 9)
+        count = Counter(slots.tolist())
+        values = {i: float(np.float32(c / math.sqrt(len(slots)))) for i, c in count.items()} | {512: 1.0}
+        examples.append((values, r.quality))
+    assert got == pytest.approx(plain_ftrl(examples, 512, 3), abs=1e-5) and np.abs(got).max() > 0.1
+
+
+def test_classifier_on_the_tables(spark):
+    """Held out bad texts are rejected and good ones kept, on both small scales."""
+    for folder in (SF, "/root/testdata/sf0.01"):
+        docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+        scored = quality_classifier.score_documents(docs, quality_classifier.fit(docs, labels))
+        rows = scored.join(labels, "doc_id").select("quality", "held_out", "predicted").collect()
+        for held in (False, True):
+            bad = [r.predicted for r in rows if r.quality == 0 and r.held_out == held]
+            good = [r.predicted for r in rows if r.quality == 1 and r.held_out == held]
+            assert sum(bad) <= 0.3 * len(bad) and sum(good) >= 0.98 * len(good)
