@@ -1,9 +1,11 @@
 """Quality rules: base counts and an n-gram likelihood ratio of trusted text to the whole corpus.
 
 Words and runs of symbols, single and in neighbouring pairs, are hashed into `BUCKETS`. The
-counts over the documents labelled good and over all documents give two smoothed multinomials.
-A document's value is the mean logarithm of their ratio over its n-grams, so its length does not
-matter; a document whose value is below `MIN_RATIO` is rejected. All steps are SQL functions.
+counts over the documents labelled good and over all documents give two multinomials. Each bucket
+of the raw one gets `PRIOR` more counts, and of the target its share of them, so a bucket that is rare in
+the corpus says little, however many buckets there are. A document's value is the mean logarithm
+of their ratio over its n-grams, so its length does not matter; a document whose value is below
+`MIN_RATIO` is rejected. All steps are SQL functions.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from pyspark.sql import functions as F
 
 from siftline.functions.once import computed_once
 
-BUCKETS = 8192
+BUCKETS = 1 << 16
+PRIOR = 16.0
 # Mean log ratio that a document must reach.
 MIN_RATIO = -0.25
 MIN_WORDS = 50
@@ -24,45 +27,49 @@ _SYMBOLS = r"[#*$%&|<>]"
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, _SPACE), lambda w: w != "")
+    return F.array_remove(F.split(text, _SPACE), "")
 
 
 def tokens_of(text: Column) -> Column:
-    return words_of(F.regexp_replace(text, r"([^\p{L}\p{N}\x20\x09-\x0D]+)", " $1 "))
+    return words_of(F.regexp_replace(text, r"([^\p{L}\p{N}\x20\x09-\x0D]++)", " $1 "))
 
 
-def buckets_of(hashes: Column, buckets: int) -> Column:
-    """Buckets of the single tokens and of the neighbouring pairs, from the tokens' hashes."""
-    n = F.size(hashes)
-    pairs = F.zip_with(
-        F.slice(hashes, F.lit(1), F.greatest(n - 1, F.lit(0))),
-        F.slice(hashes, F.lit(2), F.greatest(n - 1, F.lit(0))),
-        lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"),
-    )
-    return F.concat(F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int")), pairs)
+def hashes_of(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
 
+def bucket_of(value: Column, buckets: int) -> Column:
+    return F.pmod(value, F.lit(buckets)).cast("int")
 
-def _hashes(tokens: Column) -> Column:
-    return F.transform(tokens, lambda w: F.xxhash64(w))
+
+def buckets_of(hashes: Column, buckets: int) -> Column:
+    """Buckets of the single tokens and of the neighbouring pairs, from the tokens' hashes."""
+    n = F.greatest(F.size(hashes) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(2), n), lambda a, b: bucket_of(F.xxhash64(a, b), buckets))
+    return F.concat(F.transform(hashes, lambda h: bucket_of(h, buckets)), pairs)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("__rules_id")).distinct()
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, id_col: str, text_col: str) -> DataFrame:
-    """One row: `ratios`, the log of the two add-one-smoothed shares of every bucket."""
+def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, prior: float, id_col: str, text_col: str) -> DataFrame:
+    """One row: `ratios`, the log ratio of the two smoothed shares of every bucket."""
     trusted = trusted_ids(labels)
     if trusted.count() * 16 <= BROADCAST_BYTES:
         trusted = F.broadcast(trusted)
     rows = docs.select(F.col(id_col).cast("long").alias("__rules_doc"), F.col(text_col).alias("__rules_text"))
     rows = rows.filter(F.col("__rules_text").isNotNull())
     rows = rows.join(trusted, F.col("__rules_doc") == F.col("__rules_id"), "left")
-    rows = computed_once(rows, {"__rules_tokens": _hashes(tokens_of(F.col("__rules_text")))})
-    grams = rows.select(
-        F.col("__rules_id").isNotNull().cast("long").alias("target"),
-        F.explode(buckets_of(F.col("__rules_tokens"), buckets)).alias("bucket"),
-    )
+    rows = computed_once(rows, {"__rules_tokens": tokens_of(F.col("__rules_text"))})
+    # The same buckets, but every token and the one after it become a row: generated code counts them.
+    after = F.slice("__rules_tokens", 2, (1 << 31) - 1)
+    zipped = F.arrays_zip(F.col("__rules_tokens").alias("token"), after.alias("next"))
+    rows = rows.select(F.col("__rules_id").isNotNull().cast("long").alias("target"), F.explode(zipped).alias("p"))
+    single, following = F.xxhash64("p.token"), F.xxhash64("p.next")
+    pair = F.when(F.col("p.next").isNotNull(), bucket_of(F.xxhash64(single, following), buckets))
+    both = F.array(F.struct(bucket_of(single, buckets).alias("bucket")), F.struct(pair.alias("bucket")))
+    grams = rows.select("target", F.inline(both)).filter("bucket IS NOT NULL")
     counted = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").alias("target"))
     spark = docs.sparkSession
     # Every bucket has a row; from here on the table has `buckets` rows.
@@ -70,7 +77,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, id_col: str, te
     counted = counted.select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
     listed = F.sort_array(F.collect_list(F.struct("bucket", "raw", "target")))
     total = counted.agg(listed.alias("cells"), F.sum("raw").alias("raws"), F.sum("target").alias("targets"))
-    ratio = lambda c: F.log(c["target"] + 1.0) - F.log(F.col("targets") + float(buckets)) - F.log(c["raw"] + 1.0) + F.log(F.col("raws") + float(buckets))
+    share = F.col("targets") / F.col("raws")
+    ratio = lambda c: F.log((c["target"] + prior * share) / (c["raw"] + prior) / share)
     # Without trusted text there is nothing to compare with.
     return total.select(F.transform("cells", lambda c: F.when(F.col("targets") > 0, ratio(c)).otherwise(F.lit(0.0))).alias("ratios"))
 
@@ -79,16 +87,16 @@ def with_verdict(
     docs: DataFrame,
     labels: DataFrame,
     buckets: int = BUCKETS,
+    prior: float = PRIOR,
     min_ratio: float = MIN_RATIO,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """`docs` with one more column, `__rules`: a struct of the counts, `ratio` and the verdicts."""
-    ratios = log_ratios(docs, labels, buckets, id_col, text_col)
+    ratios = log_ratios(docs, labels, buckets, prior, id_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = computed_once(docs, {"__rules_text": text, "__rules_words": words_of(text), "__rules_tokens": _hashes(tokens_of(text))})
-    hashes = F.transform("__rules_words", lambda w: F.xxhash64(w))
-    df = computed_once(df, {"__rules_hashes": hashes, "__rules_buckets": buckets_of(F.col("__rules_tokens"), buckets)})
+    df = computed_once(docs, {"__rules_text": text, "__rules_words": words_of(text), "__rules_tokens": hashes_of(tokens_of(text))})
+    df = computed_once(df, {"__rules_hashes": hashes_of(F.col("__rules_words")), "__rules_buckets": buckets_of(F.col("__rules_tokens"), buckets)})
     n = F.size("__rules_hashes")
     at = lambda i: F.get(F.col("__rules_hashes"), i)
     windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2))))
@@ -110,6 +118,7 @@ def with_verdict(
     lines = F.filter(F.split("__rules_text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     # The table of ratios is one value of fixed size that every task gets as a constant.
     df = df.withColumn("__rules_ratios", ratios.scalar())
+    # Used once, so that the table stays a constant of the projection and is in no row.
     ratio_sum = F.aggregate("__rules_buckets", F.lit(0.0), lambda a, b: a + F.get(F.col("__rules_ratios"), b))
     df = df.select(*[F.col(f"`{c}`") for c in df.columns if c != "__rules_ratios"], ratio_sum.alias("__rules_sum"))
     df = computed_once(
