@@ -282,7 +282,7 @@ SELECT SHA('decision-' || CAST(event_id AS STRING)) AS decision_id, '2026-01-01T
   CASE WHEN event_id % 37 = 0 THEN 'decider-unknown' ELSE m.artifact_id END AS artifact_id,
   CASE WHEN event_id % 31 = 0 THEN 'altered' ELSE m.model_sha256 END AS model_sha256, m.vectorizer_sha256,
   m.known_actions_sha256, CASE WHEN event_id % 43 = 0 THEN NULL ELSE m.config_sha256 END AS config_sha256, m.training_data_sha256
-FROM events JOIN manifests m ON m.artifact_no = user_id % (SELECT count(*) FROM manifests)
+FROM (SELECT *, user_id % (SELECT count(*) FROM manifests) AS wanted_no FROM events) JOIN manifests m ON m.artifact_no = wanted_no
 """
 
 # Audited runs: one per customer.
@@ -292,7 +292,7 @@ SELECT 'run-c' || CAST(c_custkey AS STRING) AS run_id, m.artifact_id,
   CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE m.policy_sha256 END AS policy_sha256, m.training_data_sha256,
   m.model_sha256, m.vectorizer_sha256, m.known_actions_sha256,
   CASE WHEN c_custkey % 11 = 0 THEN 'stale' ELSE SHA('package-' || m.artifact_id) END AS artifact_sha256
-FROM customer JOIN manifests m ON m.artifact_no = c_custkey % (SELECT count(*) FROM manifests)
+FROM (SELECT *, c_custkey % (SELECT count(*) FROM manifests) AS wanted_no FROM customer) JOIN manifests m ON m.artifact_no = wanted_no
 """
 
 # Builds: one per order; the version line 1.0 gets a large share of them.
@@ -315,7 +315,7 @@ SELECT c_custkey AS gate_run, 'v1' AS report_version, '2026-01-01' AS generated_
   m.artifact_id, '1.0' AS model_version, CASE WHEN c_custkey % 29 = 0 THEN NULL ELSE '2026-01-01' END AS created_at,
   m.artifact_path || '/manifest.json' AS manifest_path, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE m.model_sha256 END AS model_sha256,
   m.vectorizer_sha256, m.known_actions_sha256, m.config_sha256, m.training_data_sha256
-FROM customer JOIN manifests m ON m.artifact_no = c_custkey % (SELECT count(*) FROM manifests)
+FROM (SELECT *, c_custkey % (SELECT count(*) FROM manifests) AS wanted_no FROM customer) JOIN manifests m ON m.artifact_no = wanted_no
 """
 
 ARTIFACT_FILES = {"model": "model.bin", "vectorizer": "vectorizer.bin", "known_actions": "known_actions.json"}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from siftline import config as cfg
+from siftline.functions.durable import durable
 from siftline.functions.hashing import row_digest
 from siftline.operators import comparison, lookup
 
@@ -156,21 +157,18 @@ def resolve_patches(
     version: tuple[str, ...] = ("name", "major", "minor"),
     stamp: str = "timestamp",
     tie: str = "build_id",
-    slice_chars: int = 11,
 ) -> DataFrame:
     """Add `patch`: 0 for the first build of a version, plus one for each build whose content
     hashes differ from the build before it.
 
-    A version may have most of the builds, so the running count is done in time slices (a
-    prefix of the stamp) and carried over from slice to slice by one row per slice.
+    A version may have most of the builds, all within an hour. Builds are dealt to ranges of (version,
+    stamp, tie), which hold about as many rows each. Inside a range changes are counted build by build; a
+    range leaves its first and last content and its changes for each version, and these
+    are added up over the ranges of a version.
     """
     keys = list(version)
-    sliced = builds.withColumns(
-        {
-            "_slice": F.substring(stamp, 1, slice_chars),
-            "_content": row_digest(*[F.col(h) for h in cfg.CONTENT_HASHES]),
-        }
-    )
+    hashed = builds.withColumn("_content", row_digest(*[F.col(h) for h in cfg.CONTENT_HASHES]))
+    sliced = durable(hashed.repartitionByRange(*keys, stamp, tie).withColumn("_slice", F.spark_partition_id()))
     within = W.partitionBy(*keys, "_slice").orderBy(stamp, tie)
     before = F.lag("_content").over(within)
     changed = F.coalesce((F.col("_content") != before).cast("int"), F.lit(0))

@@ -194,3 +194,21 @@ def test_patches_across_slices_and_in_one_hot_version(spark):
             last = b[5]
             want[b[0]] = patch
     assert {r.build_id: r.patch for r in audit.resolve_patches(frame.repartition(5)).collect()} == want
+
+
+def test_patches_of_one_version_within_an_hour_run_in_many_tasks(spark):
+    builds = [(i, "n", 1, 0, f"20260101-10{i // 60 % 60:02d}{i % 60:02d}", f"m{(i // 3) % 5}") for i in range(6_000)]
+    frame = spark.createDataFrame(builds, "build_id bigint, name string, major int, minor int, timestamp string, model_sha256 string").repartition(3)
+    for h in cfg.CONTENT_HASHES[1:]:
+        frame = frame.withColumn(h, F.lit("same"))
+    patch, last, want = -1, None, {}
+    for b in sorted(builds, key=lambda b: (b[4], b[0])):
+        patch, last = (0 if patch < 0 else patch + (b[5] != last)), b[5]
+        want[b[0]] = patch
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = audit.resolve_patches(frame)
+        assert out.select(F.spark_partition_id()).distinct().count() > 1
+        assert {r.build_id: r.patch for r in out.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
