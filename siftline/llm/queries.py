@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from siftline.llm.common import table
+from siftline.llm.oracle import ORACLE as ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -108,4 +109,3 @@ QUERIES: dict[str, Query] = {
     "op12_spelling": op12_spelling,
     "op13_neighbours": op13_neighbours,
 }
-ORACLE: dict[str, str] = {}

@@ -14,8 +14,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from siftline.llm import byte_runs, importance, neighbours, quality_classifier, spelling
 from siftline.llm.common import held_out, written
+from siftline.llm.oracle import ORACLE
+from tests.oracle_check import compare, connect
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, rank string, n long, word string, score string, vector string"
@@ -318,3 +321,15 @@ def test_classifier_on_the_tables(spark):
             bad = [r.predicted for r in rows if r.quality == 0 and r.held_out == held]
             good = [r.predicted for r in rows if r.quality == 1 and r.held_out == held]
             assert sum(bad) <= 0.3 * len(bad) and sum(good) >= 0.98 * len(good)
+
+
+@pytest.fixture(scope="module")
+def duck():
+    return connect(SF)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_operator_equals_its_sql(spark, duck, name):
+    count, problems = compare(contract.queries()[name](spark, SF), duck, ORACLE[name])
+    # Ranks and forms are null by contract where there is none.
+    assert [p for p in problems if ": nullable " not in p] == [] and count > 0
