@@ -39,6 +39,8 @@ def hashes_of(words: Column) -> Column:
 
 
 def bucket_of(value: Column, buckets: int) -> Column:
+    if buckets & (buckets - 1) == 0:
+        return value.bitwiseAND(F.lit(buckets - 1)).cast("int")
     return F.pmod(value, F.lit(buckets)).cast("int")
 
 
@@ -95,8 +97,17 @@ def with_verdict(
     """`docs` with one more column, `__rules`: a struct of the counts, `ratio` and the verdicts."""
     ratios = log_ratios(docs, labels, buckets, prior, id_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = computed_once(docs, {"__rules_text": text, "__rules_words": words_of(text), "__rules_tokens": hashes_of(tokens_of(text))})
-    df = computed_once(df, {"__rules_hashes": hashes_of(F.col("__rules_words")), "__rules_buckets": buckets_of(F.col("__rules_tokens"), buckets)})
+    df = computed_once(docs, {"__rules_words": words_of(text), "__rules_tokens": hashes_of(tokens_of(text))})
+    # Every step copies its row, so words leave it as soon as they are counted and hashed.
+    df = computed_once(
+        df,
+        {
+            "__rules_n": F.size("__rules_words").cast("long"),
+            "__rules_chars": F.length(F.array_join("__rules_words", "")).cast("long"),
+            "__rules_hashes": hashes_of(F.col("__rules_words")),
+            "__rules_buckets": buckets_of(F.col("__rules_tokens"), buckets),
+        },
+    )
     n = F.size("__rules_hashes")
     at = lambda i: F.get(F.col("__rules_hashes"), i)
     windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2))))
@@ -115,7 +126,7 @@ def with_verdict(
         lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last")),
         lambda a: a["n"],
     )
-    lines = F.filter(F.split("__rules_text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     # The table of ratios is one value of fixed size that every task gets as a constant.
     df = df.withColumn("__rules_ratios", ratios.scalar())
     # Used once, so that the table stays a constant of the projection and is in no row.
@@ -129,12 +140,12 @@ def with_verdict(
             "__rules_ratio": F.when(F.size("__rules_buckets") > 0, F.col("__rules_sum") / F.size("__rules_buckets")).otherwise(F.lit(0.0)),
         },
     )
-    n_words = F.size("__rules_words").cast("long")
+    n_words = F.col("__rules_n")
     failed = (n_words < MIN_WORDS) | (F.col("__rules_repeat") * 100 > n_words * 50)
     rules = F.struct(
         n_words.alias("n_words"),
-        F.length(F.array_join("__rules_words", "")).cast("long").alias("word_chars"),
-        (F.length("__rules_text") - F.length(F.regexp_replace("__rules_text", _SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.col("__rules_chars").alias("word_chars"),
+        (F.length(text) - F.length(F.regexp_replace(text, _SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("__rules_lines") - F.size(F.array_distinct("__rules_lines"))).cast("long").alias("n_dup_lines"),
         F.col("__rules_repeat").alias("n_repeat_words"),
         failed.alias("base_failed"),
