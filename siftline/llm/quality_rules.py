@@ -65,7 +65,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, prior: float, i
     rows = rows.join(trusted, F.col("__rules_doc") == F.col("__rules_id"), "left")
     rows = computed_once(rows, {"__rules_tokens": tokens_of(F.col("__rules_text"))})
     # The same buckets, but every token and the one after it become a row: generated code counts them.
-    after = F.slice("__rules_tokens", 2, (1 << 31) - 1)
+    after = F.slice("__rules_tokens", 2, 1 << 30)
     zipped = F.arrays_zip(F.col("__rules_tokens").alias("token"), after.alias("next"))
     rows = rows.select(F.col("__rules_id").isNotNull().cast("long").alias("target"), F.explode(zipped).alias("p"))
     single, following = F.xxhash64("p.token"), F.xxhash64("p.next")

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from siftline.llm import byte_runs, importance, neighbours, quality_classifier, spelling
+from siftline.llm import byte_runs, importance, neighbours, pii, quality_classifier, spelling
 from siftline.llm.common import held_out, written
 from siftline.llm.oracle import ORACLE
 from tests.oracle_check import compare, connect
@@ -333,3 +333,44 @@ def test_operator_equals_its_sql(spark, duck, name):
     count, problems = compare(contract.queries()[name](spark, SF), duck, ORACLE[name])
     # Ranks and forms are null by contract where there is none.
     assert [p for p in problems if ": nullable " not in p] == [] and count > 0
+
+
+def test_detector_scores_equal_the_fitted_trees(spark, monkeypatch):
+    """The SQL expression gives what MLlib's model gives on the same candidates."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import vector_to_array
+
+    held = {}
+    fit = GBTClassifier.fit
+
+    def keep(self, frame):
+        held["model"], held["frame"] = fit(self, frame), frame
+        return held["model"]
+
+    monkeypatch.setattr(GBTClassifier, "fit", keep)
+    detector = pii.fit_detector(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    scored = held["model"].transform(held["frame"]).select(
+        F.get(vector_to_array("probability"), F.lit(1)).alias("model"), detector.score(F.struct(*pii.FEATURES)).alias("own")
+    )
+    rows = scored.collect()
+    assert len(rows) > 50 and max(abs(r.model - r.own) for r in rows) < 1e-9 and len({round(r.own, 6) for r in rows}) > 1
+
+
+def test_detector_adds_spans_to_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = pii.find_personal_data(docs, pii.fit_detector(docs)).select("base", "spans").collect()
+    for r in found:
+        assert {(s.kind, s.start, s.end) for s in r.base} <= {(s.kind, s.start, s.end) for s in r.spans}
+        for s in r.spans:
+            assert s.kind in pii.BASE_KINDS or all(s.end <= b.start or b.end <= s.start for b in r.base)
+    assert sum(len(r.spans) - len(r.base) for r in found) > 0
+
+
+def test_long_lists_of_spans(spark):
+    """A text of 32,000 addresses and numbers: positions are exact and the work stays in proportion."""
+    text = "jo@x.com 4111 1111 1111 1112, " * 32_000
+    detector = pii.Detector([(1.0, 0.3)], {"number_like": 0.1})
+    row = pii.find_personal_data(table(spark, [text]), detector).first()
+    size = len("jo@x.com 4111 1111 1111 1112, ")
+    assert [(s.start, s.end) for s in row.base] == [(k * size, k * size + 8) for k in range(32_000)]
+    assert [(s.start, s.end) for s in row.spans if s.kind == "number_like"] == [(k * size + 9, k * size + 28) for k in range(32_000)]
