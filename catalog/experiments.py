@@ -737,3 +737,8 @@ def k16_draft(spark, sf):
 )
 def k16(spark, sf):
     return tuning.plan_status(_experiments(spark, sf))
+
+
+@register("k16_blocked_labels", query("SELECT position, label FROM tuned WHERE status = 'blocked'", "tuned"))
+def k16_blocked(spark, sf):
+    return tuning.blocked_experiments(_experiments(spark, sf))

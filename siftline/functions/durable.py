@@ -16,7 +16,7 @@ def durable(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local["):
+        if not folder and context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = folder or tempfile.mkdtemp(prefix="siftline-checkpoint-")
         context.setCheckpointDir(folder)

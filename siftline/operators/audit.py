@@ -76,7 +76,9 @@ def artifact_fingerprint(files: Column, contract: dict) -> Column:
     contract_text = json.dumps(contract, sort_keys=True, separators=(",", ":"))
 
     def text(name: str) -> Column:
-        return F.concat(F.lit('"'), F.col(name), F.lit('"'))
+        """The value as a JSON string: what stands between the brackets of a list of it."""
+        listed = F.to_json(F.array(F.col(name).cast("string")))
+        return F.when(F.col(name).isNotNull(), F.substring(listed, F.lit(2), F.length(listed) - 2))
 
     return F.sha2(
         F.concat(

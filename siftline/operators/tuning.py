@@ -84,6 +84,18 @@ def combined_draft(experiments: DataFrame) -> DataFrame:
     )
 
 
+def blocked_experiments(experiments: DataFrame) -> DataFrame:
+    """position, label of every experiment that blocks the plan, one row each."""
+    return experiments.filter("status = 'blocked'").select("position", "label")
+
+
+def final_validation(experiments: DataFrame, changed_variable: str = "candidate_config", baseline_required: bool = True) -> DataFrame:
+    """Settings of the final validation as (setting, value) rows; none while an experiment is blocked."""
+    settings = {"recommended_changed_variable": changed_variable, "baseline_required": str(baseline_required).lower()}
+    rows = F.array(*[F.struct(F.lit(k).alias("setting"), F.lit(v).alias("value")) for k, v in settings.items()])
+    return experiments.agg(F.count_if(F.col("status") == "blocked").alias("_n")).filter("_n = 0").select(F.inline(rows))
+
+
 def plan_status(experiments: DataFrame, next_experiment: str = "final_candidate_tournament") -> DataFrame:
     """One row: overall status and the recommended next step."""
     blocked, valid = F.col("blocked_count"), F.col("winner_count")

@@ -189,6 +189,9 @@ def test_tuning_plan(spark):
     status = tuning.plan_status(rows).first()
     assert (status.status, status.first_blocked_label, status.winner_count) == ("blocked", "l2", 1)
     assert tuning.plan_status(rows.filter("status = 'valid'")).first().status == "requires_final_validation"
+    assert {r.label for r in tuning.blocked_experiments(rows).collect()} >= {"l2"} and tuning.final_validation(rows).collect() == []
+    steps = {r.setting: r.value for r in tuning.final_validation(rows.filter("status = 'valid'")).collect()}
+    assert steps == {"recommended_changed_variable": "candidate_config", "baseline_required": "true"}
 
 
 def test_gate_audit(spark):
