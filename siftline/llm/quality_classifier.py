@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import coded, held_out, mix64, slices, split_words
+from siftline.llm.common import coded, give_back, held_out, mix64, slices, split_words
 
 SLOT_BITS = 18
 # Labelled documents that training reads at most, taken in the order of their hashed ids.
@@ -143,11 +143,13 @@ def fit(
             slots, shares, marks = batch.column("slots"), batch.column("shares"), batch.column("label").to_pylist()
             for at, label in enumerate(marks):
                 model.learn(slots[at].values.to_numpy(), shares[at].values.to_numpy().astype(np.float64), label)
+            give_back()
         yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype(np.float32)], pa.list_(pa.float32()))], names=["weights"])
 
     featured = sample.mapInArrow(featurise, "doc_id long, label int, slots array<int>, shares array<float>")
-    copies = featured.withColumn("order", F.xxhash64(F.lit(7), "doc_id")).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
-    ordered = copies.repartition(1).sortWithinPartitions("epoch", "order", "doc_id", "label").select("label", "slots", "shares")
+    # Copied where they are learned, so that the exchange moves every example once.
+    copies = featured.repartition(1).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
+    ordered = copies.sortWithinPartitions("epoch", F.xxhash64(F.lit(7), "doc_id"), "doc_id", "label").select("label", "slots", "shares")
     return np.asarray(ordered.mapInArrow(train, "weights array<float>").first()[0], np.float64)
 
 
