@@ -26,7 +26,10 @@ from siftline.operators import lookup
 
 # Vectors of a block, and visiting queries, that meet in one task.
 BLOCK_ROWS = 20_000
-_CHUNK = 1_024
+# Numbers of a matrix that a task holds at a time, and rows that it hands on at a time: its memory
+# follows them, not the number of vectors, queries or blocks.
+_CELLS = 1 << 20
+_HANDED = 1 << 14
 # Angles come from rounded cosines; bounds keep this much distance.
 _ANGLE_MARGIN = 1e-6
 # Blocks without a centroid: vectors of a length that no centroid has, and zero vectors.
@@ -72,6 +75,12 @@ def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndar
         yield length, rows, _unit(flat[offsets[rows][:, None] + np.arange(length)])
 
 
+def _slices(rows: int, width: int, most: int) -> Iterator[slice]:
+    """Runs of rows that hold at most `most` cells of `width` columns, one row at least."""
+    step = max(1, most // max(width, 1))
+    return (slice(start, start + step) for start in range(0, rows, step))
+
+
 class Centroids:
     """Unit vectors by length with the number of the first one of each length."""
 
@@ -91,9 +100,10 @@ class Centroids:
         """Block and angle to its centroid of each vector."""
         block, angle = np.full(len(units), _UNPLACED), np.full(len(units), np.pi)
         if length in self.first:
-            angles = self.angles(length, units)
-            nearest = angles.argmin(axis=1)
-            block, angle = nearest + self.first[length], angles[np.arange(len(units)), nearest]
+            for part in _slices(len(units), len(self.of[length]), _CELLS):
+                angles = self.angles(length, units[part])
+                nearest = angles.argmin(axis=1)
+                block[part], angle[part] = nearest + self.first[length], angles[np.arange(len(nearest)), nearest]
         zero = ~units.any(axis=1)
         block[zero], angle[zero] = _ZERO, 0.0
         return block, angle
@@ -163,18 +173,20 @@ def _visits(queries: DataFrame, centroids, blocks, k: int, first_pass: bool) ->
             for length, rows, units in _by_length(batch) if batch.num_rows else ():
                 if length not in blocks.value.of:
                     continue
-                block, size, best = blocks.value.bounds(centroids.value, length, units)
-                order = np.argsort(-best, axis=1, kind="stable")
-                held = np.cumsum(size[order], axis=1) - size[order]
-                opened = np.zeros_like(best, bool)
-                np.put_along_axis(opened, order, held <= k, axis=1)
-                if not first_pass:
-                    floor = np.where(np.isnan(kth[rows]), -2.0, kth[rows])
-                    opened = ~opened & (np.round(best + 1e-9, 4) >= floor[:, None])
-                query, which = np.nonzero(opened)
-                taken = batch.take(pa.array(rows[query]))
-                columns = [taken.column("query_id"), taken.column("embedding"), pa.array(np.full(len(query), length, np.int32)), pa.array(block[which].astype(np.int32)), taken.column("kth")]
-                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "embedding", "length", "block", "kth"])
+                for part in _slices(len(rows), len(blocks.value.of[length][0]), _HANDED):
+                    own = rows[part]
+                    block, size, best = blocks.value.bounds(centroids.value, length, units[part])
+                    order = np.argsort(-best, axis=1, kind="stable")
+                    held = np.cumsum(size[order], axis=1) - size[order]
+                    opened = np.zeros_like(best, bool)
+                    np.put_along_axis(opened, order, held <= k, axis=1)
+                    if not first_pass:
+                        floor = np.where(np.isnan(kth[own]), -2.0, kth[own])
+                        opened = ~opened & (np.round(best + 1e-9, 4) >= floor[:, None])
+                    query, which = np.nonzero(opened)
+                    taken = batch.take(pa.array(own[query]))
+                    columns = [taken.column("query_id"), taken.column("embedding"), pa.array(np.full(len(query), length, np.int32)), pa.array(block[which].astype(np.int32)), taken.column("kth")]
+                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "embedding", "length", "block", "kth"])
 
     return queries.select("query_id", "embedding", "kth").mapInArrow(run, _VISIT)
 
@@ -187,8 +199,8 @@ def _best_in_block(queries: pd.DataFrame, memory: pd.DataFrame, k: int, exclude_
     memory = memory.sort_values("incident_id", ignore_index=True)
     known, ids = _matrix(memory["embedding"]), memory["incident_id"].to_numpy()
     found = []
-    for start in range(0, len(queries), _CHUNK):
-        part = queries.iloc[start : start + _CHUNK]
+    for rows in _slices(len(queries), len(known), _CELLS):
+        part = queries.iloc[rows]
         asked = part["query_id"].to_numpy()
         exact = _matrix(part["embedding"]) @ known.T
         shown = np.round(exact, 4)

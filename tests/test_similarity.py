@@ -67,3 +67,39 @@ def test_repeated_incident_ids_fail(spark):
     queries = spark.createDataFrame([(5, [1.0, 0.5])], "query_id bigint, embedding array<double>")
     with pytest.raises(Exception, match="occurs twice"):
         similarity.top_incidents(queries, memory).collect()
+
+
+def test_memory_of_a_task_is_bounded():
+    """Matrices and handed batches keep their size however many vectors, queries and blocks there are."""
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+
+    def side(name, n):
+        return pd.DataFrame({name: np.arange(n), "embedding": list(rng.normal(size=(n, 8)))})
+
+    queries, memory = side("query_id", 2_000), side("incident_id", 6_000)
+    tracemalloc.start()
+    found = similarity._best_in_block(queries, memory, 3, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 6_000 and peak < 60 << 20
+
+
+def test_visits_are_handed_on_in_small_batches():
+    """All queries visit all blocks but their nearest; no batch holds more than the stated rows."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    data = np.random.default_rng(2).normal(size=(2_000, 8))
+    centroids = similarity.Centroids(data[:50].tolist())
+    blocks = similarity.Blocks([(8, k, 40, 1.5) for k in range(50)])
+    frame = SimpleNamespace(select=lambda *names: SimpleNamespace(mapInArrow=lambda run, schema: run))
+    run = similarity._visits(frame, SimpleNamespace(value=centroids), SimpleNamespace(value=blocks), 3, False)
+    none = pa.array([None] * len(data), pa.float64())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(data))), pa.array(data.tolist()), none], names=["query_id", "embedding", "kth"])
+    sizes = [b.num_rows for b in run([batch])]
+    assert sum(sizes) == 2_000 * 49 and max(sizes) <= similarity._HANDED
