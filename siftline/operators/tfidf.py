@@ -10,6 +10,9 @@ from siftline.functions.once import computed_once
 from siftline.functions.text import ngrams, word_tokens
 from siftline.operators import lookup
 
+# Bytes of text whose terms are counted in one task; a task's memory follows them, not the table.
+PART_BYTES = 4 << 20
+
 
 def tokenize(docs: DataFrame, doc: str, text: str, max_n: int = 1) -> DataFrame:
     """One row per token (or n-gram) occurrence: doc, term."""
@@ -22,8 +25,11 @@ def tokenize(docs: DataFrame, doc: str, text: str, max_n: int = 1) -> DataFrame:
 
 def term_counts(docs: DataFrame, doc: str, text: str, max_n: int = 1) -> DataFrame:
     """doc, term, tf. The text is hashed on the document first, which is smaller than its
-    exploded terms, and the count then needs no further exchange."""
-    placed = docs.select(doc, text).repartition(F.col(doc))
+    exploded terms, and the count then needs no further exchange. Parts grow in number with
+    the texts, not in size: one scan adds up their bytes."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+    placed = docs.select(doc, text).repartition(parts, F.col(doc))
     return tokenize(placed, doc, text, max_n).groupBy(doc, "term").agg(F.count("*").alias("tf"))
 
 

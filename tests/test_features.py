@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from siftline import config as cfg
-from siftline.operators import features, models
+from siftline.operators import features, models, tfidf
 from siftline.operators.features import TextSetting
 from siftline.plans import selection as plans
 
@@ -96,3 +96,14 @@ def test_tuning_runs_can_be_compared_and_selected(spark):
     assert all(r.evidence_status == "passed" for r in picked.evaluations.collect())
     params = {r.variant_name: r.params["tfidf_ngram_range"] for r in runs.collect()}
     assert params == {"n1": "[1, 1]", "n2": "[1, 2]"}
+
+
+def test_parts_of_a_term_count_follow_the_bytes_of_the_texts(spark, monkeypatch):
+    """More text gives more parts, not larger ones; repeated and null ids still add up."""
+    rows = spark.range(400).selectExpr("if(id % 4 = 0, null, id % 100) AS doc", "concat('ab cd ab ', repeat('x', 50)) AS text")
+    whole = sorted(tfidf.term_counts(rows, "doc", "text", 2).collect(), key=str)
+    monkeypatch.setattr(tfidf, "PART_BYTES", 1_000)
+    parted = tfidf.term_counts(rows, "doc", "text", 2)
+    assert parted.rdd.getNumPartitions() == 24 and sorted(parted.collect(), key=str) == whole
+    assert {(r.doc, r.term): r.tf for r in whole}[(None, "ab")] == 200
+    assert tfidf.term_counts(rows.limit(0), "doc", "text").count() == 0
