@@ -450,10 +450,13 @@ def history_totals(groups: DataFrame) -> DataFrame:
 
 
 def metric_table(values: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
-    """run_id by metric from long values; the metric list is fixed, so no extra job runs."""
+    """run_id by metric from long values; the metric list is fixed, so no extra job runs.
+
+    One aggregation by run: a pivot first groups by run and key, which holds a row for every metric.
+    """
     rows = values.filter((F.col("kind") == "metrics") & F.col("key").isin(*metrics))
     number = F.when(~F.col("value").isin("NaN", "nan"), F.col("value").try_cast("double"))
-    return rows.groupBy("run_id").pivot("key", list(metrics)).agg(F.max(number))
+    return rows.groupBy("run_id").agg(*[F.max(F.when(F.col("key") == name, number)).alias(name) for name in metrics])
 
 
 def config_drift(runs: DataFrame, expected: cfg.TrainingSettings) -> DataFrame:

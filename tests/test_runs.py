@@ -205,3 +205,14 @@ def test_gate_audit(spark):
     frame_ = spark.createDataFrame(checks, "gate_run string, check string, status string, position int")
     out = {r.gate_run: (r.evidence_ok, r.first_problem) for r in audit.audit_gates(reports, frame_).collect()}
     assert out == {"ok": (True, None), "bare": (False, "missing_report_fields"), "red": (False, "missing_or_failed_checks")}
+
+
+def test_metric_table_groups_once(spark):
+    """One row in memory for a run, not one for each of its metrics."""
+    rows = [("a", "metrics", "m", "1.5"), ("a", "metrics", "m", "2"), ("a", "metrics", "n", "NaN"), ("b", "tags", "m", "7"),
+            ("c", "metrics", "other", "1"), (None, "metrics", "n", "3"), ("d", "metrics", "n", "x"), ("d", "metrics", "n", None)]
+    values = spark.createDataFrame(rows, "run_id string, kind string, key string, value string")
+    table = comparison.metric_table(values, ("m", "n"))
+    assert table.columns == ["run_id", "m", "n"]
+    assert sorted(map(tuple, table.collect()), key=str) == [("a", 2.0, None), ("d", None, None), (None, None, 3.0)]
+    assert table._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
