@@ -13,7 +13,7 @@ from catalog.oracle_base import define, query
 from catalog.registry import register
 from catalog.texts import line_split
 from siftline import config as cfg
-from siftline.functions.durable import durable
+from siftline.functions.durable import columnar, durable
 from siftline.operators import models, routing
 from siftline.operators.features import TextSetting
 
@@ -60,7 +60,8 @@ _MANUAL_ROWS = " UNION ALL ".join(
 
 
 def _rows(spark, sf):
-    return line_split(spark, sf)
+    """The split lines, parsed once: fitting and scoring read them many times."""
+    return columnar(line_split(spark, sf))
 
 
 def _train(rows):

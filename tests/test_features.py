@@ -107,3 +107,14 @@ def test_parts_of_a_term_count_follow_the_bytes_of_the_texts(spark, monkeypatch)
     assert parted.rdd.getNumPartitions() == 24 and sorted(parted.collect(), key=str) == whole
     assert {(r.doc, r.term): r.tf for r in whole}[(None, "ab")] == 200
     assert tfidf.term_counts(rows.limit(0), "doc", "text").count() == 0
+
+
+def test_training_rows_are_parsed_once(spark, tmp_path, monkeypatch):
+    """The rows that fitting and scoring read are a stored table, not the parser's plan over the events."""
+    from catalog import training
+
+    monkeypatch.setattr(training, "line_split", lambda spark, sf: lines(spark, TEXTS, 24).filter(F.lower("message") != "x y"))
+    rows = training._rows(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan and "parquet" in plan
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted(map(tuple, training.line_split(spark, "").collect()), key=str)
