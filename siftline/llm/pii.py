@@ -3,8 +3,8 @@
 Base rules give the sure spans (email, ip, card, phone). High-recall generators propose further
 spans that may overlap each other and the base: written-out addresses, telephone numbers without
 a plus, account numbers and long numbers. Boosted trees score each by its format and the text
-beside it. They are fitted on a bounded sample in which a base rule or a check sum labels some
-candidates. That evidence is no feature, and its lack no proof: a card number with a mistyped or made-up digit fails
+beside it. They are fitted on the candidates of all documents, in which a base rule or a check sum
+labels some. That evidence is no feature, and its lack no proof: a card number with a mistyped or made-up digit fails
 the check sum, a telephone number may lack its plus. So the labelled candidates count as some of the
 positive ones, and what the trees learn is the chance of a label. For each generator the mean
 chance of labelled candidates in documents kept aside calibrates it: a candidate that reaches
@@ -47,8 +47,6 @@ PHONE_DIGITS = (7, 15)
 SUPPORT = {"email_like": "email", "phone_like": "phone", "number_like": "card"}
 _DIGIT, _AT = "[0-9]", r"@|\(at\)|\[at\]"
 
-# Documents that training reads, in expectation; each is chosen by its hashed id and text.
-MAX_TRAIN_DOCS = 40_000
 TREES, DEPTH = 10, 3
 # Share of the labelled candidates' mean score that a candidate has to reach, and labelled ones
 # that a generator needs in the documents kept aside.
@@ -244,13 +242,14 @@ def _tree(node) -> object:
 
 
 def fit_detector(
-    docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, min_share: float = MIN_SHARE, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, min_share: float = MIN_SHARE, id_col: str = "doc_id", text_col: str = "text"
 ) -> Detector | None:
-    """Trees and thresholds from a sample of about `max_docs` documents; None where a class is missing."""
-    total = docs.count()
+    """Trees and thresholds from the candidates of all documents; None where a class is missing.
+
+    A quarter of the documents, by hashed id and text, gives the thresholds and the others the trees.
+    """
     rows = docs.select(F.xxhash64(F.lit(5), id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    chance = F.pmod("key", F.lit(1 << 30)) / float(1 << 30)
-    rows = rows.filter((chance * total < max_docs) & F.col("text").rlike(rf"{_DIGIT}|{_AT}"))
+    rows = rows.filter(F.col("text").rlike(rf"{_DIGIT}|{_AT}"))
     rows = computed_once(rows, {"base": base_spans(F.col("text")), "found": candidates(F.col("text"))})
     rows = rows.select("key", "text", "base", F.explode("found").alias("span"))
 

@@ -199,6 +199,14 @@ def test_detector_adds_spans(spark):
     assert pii.fit_detector(table(spark, ["no data at all"])) is None
 
 
+def test_detector_learns_from_all_documents(spark, monkeypatch):
+    """More documents than the 40,000 that a sample once held: each gives its candidate to the fit."""
+    kept = []
+    monkeypatch.setattr(pii, "written", lambda frame, label: kept.append(frame) or frame.limit(0))
+    docs = spark.range(50_000).selectExpr("id AS doc_id", "concat('mail u', id, '@example.com') AS text")
+    assert pii.fit_detector(docs) is None and kept[0].count() == 50_000
+
+
 def test_jaccard_components_equal_brute_force(spark):
     rnd = random.Random(5)
     words = [f"w{i}" for i in range(400)]
